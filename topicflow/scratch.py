@@ -12,6 +12,19 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+
+# Rows up to which a parameter-sized table (slices x topics x top words) is broadcast.
+BROADCAST_ROWS = 1_000_000
+
+
+def broadcast_checked(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Broadcast ``df`` if its counted size is within the bound; else leave it to a shuffle join.
+
+    Call it on saved tables, where the count is read from file footers.
+    """
+    return F.broadcast(df) if df.count() <= max_rows else df
 
 
 def _base_dir(spark: SparkSession) -> str:
@@ -43,12 +56,6 @@ class Scratch:
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def union(self, frames: list[DataFrame]) -> DataFrame:
-        out = frames[0]
-        for df in frames[1:]:
-            out = out.unionByName(df)
-        return out
-
     def drop(self) -> None:
         """Remove this job's tables (only its own sub-folder)."""
         jvm = self.spark.sparkContext._jvm
