@@ -175,6 +175,71 @@ etok AS (SELECT doc_id, unnest(regexp_extract_all(text, '{PATTERN}')) AS term FR
 tok AS (SELECT * FROM etok WHERE term NOT IN ({STOP})),
 dtc AS (SELECT doc_id, term, count(*) AS cnt FROM tok GROUP BY doc_id, term)"""
 
+# 50 scaling rounds over lists, one row per slice pair
+SINKHORN = """
+mass AS (SELECT slice_id, topic_id, sum(lam) AS w FROM counts GROUP BY slice_id, topic_id),
+share AS (SELECT slice_id, topic_id, {weight} / sum({weight}) OVER (PARTITION BY slice_id) AS w FROM mass),
+kernel AS (SELECT slice_id AS problem, src_topic AS i, tgt_topic AS j, cost AS c,
+                  exp(-cost / 0.01) + 1e-16 AS k FROM cost),
+by_row AS (SELECT problem, list(r ORDER BY i) AS m
+           FROM (SELECT problem, i, list(k ORDER BY j) AS r FROM kernel GROUP BY problem, i) GROUP BY problem),
+by_col AS (SELECT problem, list(r ORDER BY j) AS m
+           FROM (SELECT problem, j, list(k ORDER BY i) AS r FROM kernel GROUP BY problem, j) GROUP BY problem),
+sides AS (SELECT slice_id, list(w ORDER BY topic_id) AS w FROM share GROUP BY slice_id),
+prob AS (SELECT r.problem, r.m AS rows, c.m AS cols, a.w AS a, b.w AS b
+         FROM by_row r JOIN by_col c USING (problem)
+         JOIN sides a ON a.slice_id = r.problem JOIN sides b ON b.slice_id = r.problem + 1),
+sink AS (
+  SELECT problem, 0 AS it, [1.0::DOUBLE, 1, 1, 1] AS u, [1.0::DOUBLE, 1, 1, 1] AS v FROM prob
+  UNION ALL
+  SELECT problem, it + 1, u2,
+         list_transform(range(1, 5), lambda j: b[j] / list_dot_product(cols[j], u2))
+  FROM (SELECT s.problem, it, cols, b,
+               list_transform(range(1, 5), lambda i: a[i] / list_dot_product(rows[i], v)) AS u2
+        FROM sink s JOIN prob p ON p.problem = s.problem WHERE it < 50)),
+plan AS (SELECT k.problem, k.i, k.j, k.c, s.u[k.i + 1] * s.v[k.j + 1] * k.k AS gamma
+         FROM kernel k JOIN sink s ON s.problem = k.problem AND s.it = 50)"""
+WEIGHTED = SINKHORN.replace("{weight}", "w")
+UNIFORM = SINKHORN.replace("{weight}", "1.0::DOUBLE")
+
+# Prim's algorithm, one step per row of the recursion; the state is three lists
+TREE = """
+pts AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e, row_number() OVER (ORDER BY vec_id) AS idx
+        FROM embeddings),
+dist AS (SELECT x.idx, list(list_distance(x.e, y.e) ORDER BY y.idx) AS ds FROM pts x, pts y GROUP BY x.idx),
+size AS (SELECT count(*) AS n FROM pts),
+prim AS (
+  SELECT 0::BIGINT AS step, 1::BIGINT AS cur, list_transform(range(1, n + 1), lambda i: i < 0) AS used,
+         list_transform(range(1, n + 1), lambda i: 'inf'::DOUBLE) AS best,
+         list_transform(range(1, n + 1), lambda i: 0::BIGINT) AS link,
+         0::BIGINT AS a, 0::BIGINT AS b, 0::DOUBLE AS h FROM size
+  UNION ALL
+  SELECT step + 1, nxt, used2, best2, link2, least(nxt, link2[nxt]), greatest(nxt, link2[nxt]), best2[nxt]
+  FROM (SELECT *, list_position(open, list_min(open)) AS nxt
+    FROM (SELECT *, list_transform(range(1, n + 1), lambda i:
+                      CASE WHEN used2[i] THEN 'inf'::DOUBLE ELSE best2[i] END) AS open
+      FROM (SELECT step, n,
+              list_transform(range(1, n + 1), lambda i: used[i] OR i = cur) AS used2,
+              list_transform(range(1, n + 1), lambda i: least(best[i], ds[i])) AS best2,
+              list_transform(range(1, n + 1), lambda i: CASE WHEN ds[i] < best[i] THEN cur ELSE link[i] END) AS link2
+            FROM prim JOIN dist ON dist.idx = cur, size WHERE step < n - 1)))),
+tree AS (SELECT a, b, h, row_number() OVER (ORDER BY h, a, b) AS ord FROM prim WHERE step > 0)"""
+
+# apply the chosen tree edges one by one to a list of labels
+CUT = """
+kept AS (SELECT a, b, row_number() OVER (ORDER BY ord) AS ord FROM tree WHERE {cut}),
+total AS (SELECT count(*) AS m FROM kept),
+walk AS (
+  SELECT 0::BIGINT AS step, range(1, n + 1) AS lab FROM size
+  UNION ALL
+  SELECT step + 1, list_transform(lab, lambda x: CASE WHEN x = greatest(lab[a], lab[b])
+                                              THEN least(lab[a], lab[b]) ELSE x END)
+  FROM walk JOIN kept ON ord = step + 1),
+labels AS (SELECT p.vec_id AS id, dense_rank() OVER (ORDER BY lab[p.idx]) - 1 AS label
+           FROM walk JOIN total ON step = m, pts p)"""
+CUT_COUNT = CUT.replace("{cut}", "ord <= (SELECT n - 10 FROM size)")
+CUT_HEIGHT = CUT.replace("{cut}", "h < 1.15")
+
 ORACLE = {
     "corpus_scan": "SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS pos, text FROM documents",
     "conversation_scan": """SELECT conv_id, turn, row_number() OVER (ORDER BY conv_id, turn) - 1 AS pos, text
@@ -268,4 +333,21 @@ FROM aligned"""),
   round(alignment, 6) AS alignment FROM alignment"""),
     "metric_averages": SUMMARY,
     "metrics_csv": SUMMARY,
+    "ot_kernel": build(*TOPICS, COSINE, WEIGHTED, select="""SELECT problem, i, j, round(c, 6) AS c,
+  round(k, 6) AS k FROM kernel"""),
+    "sinkhorn_plan": build(*TOPICS, COSINE, WEIGHTED, select="""SELECT problem, i, j, round(c, 6) AS c,
+  round(gamma, 6) AS gamma FROM plan"""),
+    "ot_distance": build(*TOPICS, COSINE, WEIGHTED, select="""SELECT problem,
+  round(sum(gamma * c), 6) AS distance FROM plan GROUP BY problem"""),
+    "topic_ot_alignment": build(*TOPICS, COSINE, UNIFORM, select="""SELECT problem, i, j, round(gamma, 6) AS gamma
+FROM (SELECT *, row_number() OVER (PARTITION BY problem, i ORDER BY gamma DESC, j) AS r FROM plan) WHERE r = 1"""),
+    "nearest_neighbours": """SELECT id, arg_min(other, (d, other)) AS neighbour, round(min(d), 6) AS distance
+FROM (SELECT x.vec_id AS id, y.vec_id AS other,
+             list_distance(CAST(x.embedding AS DOUBLE[]), CAST(y.embedding AS DOUBLE[])) AS d
+      FROM embeddings x JOIN embeddings y ON x.vec_id <> y.vec_id) GROUP BY id""",
+    "hclust_single": build(TREE, select="""SELECT x.vec_id AS a, y.vec_id AS b, round(h, 6) AS height
+FROM tree JOIN pts x ON x.idx = a JOIN pts y ON y.idx = b"""),
+    "cut_n_clusters": build(TREE, CUT_COUNT, select="SELECT id, label FROM labels"),
+    "cut_threshold": build(TREE, CUT_HEIGHT, select="SELECT id, label FROM labels"),
+    "cluster_sizes": build(TREE, CUT_HEIGHT, select="SELECT label, count(*) AS n FROM labels GROUP BY label"),
 }

@@ -12,10 +12,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from topicflow.operators import alignment as al
+from topicflow.operators import clustering as cl
+from topicflow.operators import lda as ld
 from topicflow.operators import metrics as me
 from topicflow.operators import slicing as sl
 from topicflow.operators import topics as tp
+from topicflow.operators import transport as tr
 from topicflow.operators import vocabulary as vo
+from topicflow.plans.evolution import Config, run
 from topicflow.scratch import Scratch
 from topicflow.session import spread
 from topicflow.sources import corpus as co
@@ -291,6 +295,130 @@ def metrics_csv(spark, sf):
     return spark.read.schema(row.schema).option("header", True).csv(path)
 
 
+# --- fitted topic models -------------------------------------------------------
+
+
+def _fitted(spark, sf, max_iter: int = 10):
+    scratch = Scratch(spark, "fit")
+    corpus = docs(spark, sf)
+    vocab = scratch.save(vo.fit_vocabulary(corpus, VOCABULARY), "vocab")
+    sliced = sl.slice_by_position(corpus, SLICES, scratch=scratch)
+    packed = scratch.save(vo.pack_documents(sliced, vocab), "packed")
+    return packed, ld.fit_lda(packed, vocab.count(), 10, max_iter, scratch=scratch)
+
+
+def lda_fit(spark, sf):
+    return _fitted(spark, sf)[1].long()
+
+
+def lda_fit_ml(spark, sf):
+    corpus = docs(spark, sf)
+    vocab = Scratch(spark, "vocab").save(vo.fit_vocabulary(corpus, VOCABULARY), "vocab")
+    return ld.fit_lda_mllib(sl.slice_by_position(corpus, SLICES), vocab, 10, 5)
+
+
+def doc_topic(spark, sf):
+    return ld.doc_topic(*_fitted(spark, sf))
+
+
+def perplexity(spark, sf):
+    return ld.perplexity(*_fitted(spark, sf))
+
+
+def evolution_report(spark, sf):
+    result = run(spark, docs(spark, sf), Config(max_iter=10)).result
+    shown = {"avg_coherence": 4, "avg_diversity": 4, "evolution_smoothness": 4, "avg_alignment": 4, "avg_perplexity": 2}
+    return result.select("*", *[F.format_number(c, d).alias(f"{c}_text") for c, d in shown.items()])
+
+
+# --- optimal transport ---------------------------------------------------------
+
+
+def _transport(spark, sf):
+    """One problem per slice pair: topic cost, and token shares as marginals."""
+    p = Prepared(spark, sf)
+    cost = al.topic_cost(al.topic_cosine(p.topic_word()))
+    cost = p.scratch.save(cost.toDF("problem", "i", "j", "c"), "cost")
+    mass = p.packed.groupBy("slice_id", "topic").agg(
+        F.sum(F.aggregate("cnts", F.lit(0.0), lambda a, x: a + x)).alias("w")
+    )
+    mass = p.scratch.save(mass, "mass")
+    a = mass.filter(F.col("slice_id") < SLICES - 1).toDF("problem", "i", "w")
+    b = mass.filter("slice_id > 0").select(
+        (F.col("slice_id") - 1).alias("problem"), F.col("topic").alias("j"), "w"
+    )
+    return a, b, cost
+
+
+# a fixed number of rounds, so that both engines do the same arithmetic
+ROUNDS = 50
+
+
+def ot_kernel(spark, sf):
+    return tr.gibbs_kernel(_transport(spark, sf)[2]).withColumn("c", r6("c")).withColumn("k", r6("k"))
+
+
+def sinkhorn_plan(spark, sf):
+    plan = tr.sinkhorn(*_transport(spark, sf), max_iter=ROUNDS, tol=0.0)
+    return plan.withColumn("c", r6("c")).withColumn("gamma", r6("gamma"))
+
+
+def ot_distance(spark, sf):
+    plan = tr.sinkhorn(*_transport(spark, sf), max_iter=ROUNDS, tol=0.0)
+    return tr.ot_distance(plan).withColumn("distance", r6("distance"))
+
+
+def topic_ot_alignment(spark, sf):
+    cost = _transport(spark, sf)[2]
+    plan = tr.sinkhorn(*tr.uniform_marginals(cost), cost, max_iter=ROUNDS, tol=0.0)
+    return tr.soft_alignment(plan).withColumn("gamma", r6("gamma"))
+
+
+# --- clustering ------------------------------------------------------------------
+
+CLUSTERS = 10
+THRESHOLD = 1.15
+
+
+def points(spark, sf):
+    return table(spark, sf, "embeddings").select(
+        F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("features")
+    )
+
+
+def nearest_neighbours(spark, sf):
+    return cl.nearest_neighbours(points(spark, sf)).withColumn("distance", r6("distance"))
+
+
+def _merges(linkage):
+    def query(spark, sf):
+        return cl.agglomerate(points(spark, sf), linkage)
+
+    query.__name__ = f"hclust_{linkage}"
+    return query
+
+
+def hclust_single(spark, sf):
+    merges = cl.agglomerate(points(spark, sf), "single")
+    return merges.select("a", "b", r6("height").alias("height"))
+
+
+def cut_n_clusters(spark, sf):
+    return cl.hierarchical_clustering(points(spark, sf), n_clusters=CLUSTERS, linkage="single")
+
+
+def cut_threshold(spark, sf):
+    return cl.hierarchical_clustering(points(spark, sf), distance_threshold=THRESHOLD, linkage="single")
+
+
+def cluster_sizes(spark, sf):
+    return cl.cluster_sizes(cut_threshold(spark, sf))
+
+
+def ward_labels(spark, sf):
+    return cl.hierarchical_clustering(points(spark, sf), n_clusters=CLUSTERS, linkage="ward")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -299,6 +427,9 @@ QUERIES = {
         time_sliced_corpus, topic_word, doc_freq, top_words, top_words_ties, topic_word_pairs,
         cooccurrence, npmi, topic_coherence, topic_diversity, topic_cosine, topic_cost,
         topic_assignment, topic_tracks, aligned_topic_word, topic_drift, evolution_smoothness,
-        topic_alignment, metric_averages, metrics_csv,
+        topic_alignment, metric_averages, metrics_csv, lda_fit, lda_fit_ml, doc_topic, perplexity,
+        evolution_report, ot_kernel, sinkhorn_plan, ot_distance, topic_ot_alignment,
+        nearest_neighbours, _merges("ward"), _merges("complete"), _merges("average"),
+        hclust_single, cut_n_clusters, cut_threshold, cluster_sizes, ward_labels,
     )
 }
