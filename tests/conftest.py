@@ -15,8 +15,8 @@ from topicflow.session import get_session  # noqa: E402
 def spark(tmp_path_factory):
     session = get_session(
         "tests",
-        "local[8]",
-        spark__sql__shuffle__partitions="8",
+        "local[4]",
+        spark__sql__shuffle__partitions="4",
         spark__ui__enabled="false",
         spark__ui__showConsoleProgress="false",
         spark__driver__memory="6g",
