@@ -212,6 +212,14 @@ def test_pipeline_rejects_bad_settings(spark):
         run(spark, corpus, Config(2, 2, 5, 1, top_n=10, stop_words=()))
 
 
+def test_string_document_ids(spark):
+    corpus = word_corpus(spark, 60).withColumn("doc_id", F.concat(F.lit("d"), F.lpad("doc_id", 4, "0")))
+    out = run(spark, corpus, Config(2, 2, 50, 2, stop_words=()))
+    assert out.result.first()["avg_perplexity"] > 0
+    shares = lda.doc_topic(out.packed, out.model)
+    assert shares.select("doc_id").distinct().count() == 60
+
+
 def test_scoring_a_stream_equals_batch(spark, packed, model, tmp_path):
     corpus = word_corpus(spark, 40, vocab=25).withColumn("slice_id", F.lit(0))
     vocab = vo.fit_vocabulary(corpus, 25, ()).cache()

@@ -11,7 +11,7 @@ def sizes(df):
     return [n for _, n in rows(sl.slice_sizes(df))]
 
 
-@pytest.mark.parametrize("n,s", [(1000, 7), (10, 3), (5, 5), (9, 1), (101, 4)])
+@pytest.mark.parametrize("n,s", [(1000, 7), (10, 3), (5, 5), (9, 1), (101, 4), (300, 80)])
 def test_last_slice_takes_the_remainder(spark, n, s):
     df = spark.range(n).withColumnRenamed("id", "doc_id").orderBy(F.rand(1))
     sliced = sl.slice_by_position(df, s)

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from topicflow.scratch import Scratch
+from topicflow.scratch import Scratch, broadcast_checked
 
 
 def _ranges(df: DataFrame, order_cols: Sequence[str], scratch: Scratch) -> tuple[DataFrame, list]:
@@ -82,11 +82,20 @@ def with_position(df: DataFrame, order_cols: Sequence[str], scratch: Scratch | N
     )
 
 
-def _after(order_cols: Sequence[str], types: dict, border: Row) -> Column:
-    """True for rows at or after ``border`` in lexicographic order (NULLs first)."""
+# borders compared one by one in generated code; more are searched in an array
+CHAINED_BORDERS = 64
+
+
+def _slice_number(order_cols: Sequence[str], types: dict, cuts: list[Row]) -> Column:
+    """How many borders are at or before the row's key, in lexicographic order (NULLs first)."""
     key = F.struct(*[F.col(c) for c in order_cols])
-    bound = F.struct(*[F.lit(border[c]).cast(types[c]).alias(c) for c in order_cols])
-    return key >= bound
+    bounds = [F.struct(*[F.lit(cut[c]).cast(types[c]).alias(c) for c in order_cols]) for cut in cuts]
+    if len(bounds) > CHAINED_BORDERS:
+        return F.size(F.filter(F.array(*bounds), lambda bound: key >= bound))
+    number = F.lit(0)
+    for i, bound in enumerate(bounds, start=1):
+        number = F.when(key >= bound, F.lit(i)).otherwise(number)
+    return number
 
 
 def slice_by_position(
@@ -112,23 +121,23 @@ def slice_by_position(
 
     _, cuts = rows_at(df, order, fractions=borders, scratch=scratch)
     types = {c: df.schema[c].dataType for c in order}
-    # the last border not after the row decides; a chain of comparisons, no shuffle
-    slice_id = F.lit(0)
-    for i, cut in enumerate(cuts, start=1):
-        slice_id = F.when(_after(order, types, cut), F.lit(i)).otherwise(slice_id)
-    return df.withColumn("slice_id", slice_id.cast("int"))
+    return df.withColumn("slice_id", _slice_number(order, types, cuts).cast("int"))
 
 
-def slice_by_time(df: DataFrame, ts_col: str, width: str) -> DataFrame:
+def slice_by_time(
+    df: DataFrame, ts_col: str, width: str, scratch: Scratch | None = None
+) -> DataFrame:
     """Add ``slice_id``: the rank of the row's tumbling time window among non-empty windows.
 
-    The rank runs over distinct windows (one row each), never over documents.
+    The rank runs over distinct windows, one row each, which are saved so that their
+    counted number decides on the broadcast; documents are not shuffled for it.
     """
-    windowed = df.withColumn("_w", F.window(ts_col, width)["start"])
-    spans = windowed.select("_w").distinct()
+    scratch = scratch or Scratch(df.sparkSession, "windows")
+    start = F.window(ts_col, width)["start"]
+    spans = df.select(start.alias("_w")).distinct()
     number = F.dense_rank().over(Window.orderBy("_w")) - 1
-    ranked = spans.select("_w", number.cast("int").alias("slice_id"))
-    return windowed.join(ranked, "_w").drop("_w")
+    ranked = scratch.save(spans.select("_w", number.cast("int").alias("slice_id")), "windows")
+    return df.withColumn("_w", start).join(broadcast_checked(ranked), "_w").drop("_w")
 
 
 def slice_sizes(sliced: DataFrame) -> DataFrame:
