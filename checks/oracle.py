@@ -204,9 +204,9 @@ UNIFORM = SINKHORN.replace("{weight}", "1.0::DOUBLE")
 
 # Prim's algorithm, one step per row of the recursion; the state is three lists
 TREE = """
-pts AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e, row_number() OVER (ORDER BY vec_id) AS idx
+pts AS MATERIALIZED (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e, row_number() OVER (ORDER BY vec_id) AS idx
         FROM embeddings),
-dist AS (SELECT x.idx, list(list_distance(x.e, y.e) ORDER BY y.idx) AS ds FROM pts x, pts y GROUP BY x.idx),
+dist AS MATERIALIZED (SELECT x.idx, list(list_distance(x.e, y.e) ORDER BY y.idx) AS ds FROM pts x, pts y GROUP BY x.idx),
 size AS (SELECT count(*) AS n FROM pts),
 prim AS (
   SELECT 0::BIGINT AS step, 1::BIGINT AS cur, list_transform(range(1, n + 1), lambda i: i < 0) AS used,
