@@ -240,6 +240,38 @@ labels AS (SELECT p.vec_id AS id, dense_rank() OVER (ORDER BY lab[p.idx]) - 1 AS
 CUT_COUNT = CUT.replace("{cut}", "ord <= (SELECT n - 10 FROM size)")
 CUT_HEIGHT = CUT.replace("{cut}", "h < 1.15")
 
+# Greedy merging: each step finds the smallest distance and rewrites two rows and columns
+GREEDY = """
+pts AS MATERIALIZED (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e,
+                            row_number() OVER (ORDER BY vec_id) AS idx FROM embeddings),
+dist AS MATERIALIZED (SELECT x.idx, list(CASE WHEN x.idx = y.idx THEN 'inf'::DOUBLE
+                                         ELSE list_distance(x.e, y.e) END ORDER BY y.idx) AS ds
+                      FROM pts x, pts y GROUP BY x.idx),
+merging AS (
+  SELECT 0::BIGINT AS step, list(ds ORDER BY idx) AS m, list(1.0::DOUBLE) AS n,
+         0::BIGINT AS a, 0::BIGINT AS b, 0::DOUBLE AS h FROM dist
+  UNION ALL
+  SELECT step + 1,
+         list_transform(range(1, len(m) + 1), lambda x:
+           CASE WHEN x = j THEN list_transform(row, lambda y: 'inf'::DOUBLE)
+                WHEN x = i THEN row
+                ELSE m[x][1:i - 1] || [row[x]] || m[x][i + 1:j - 1] || ['inf'::DOUBLE] || m[x][j + 1:] END),
+         list_transform(range(1, len(m) + 1), lambda x: CASE WHEN x = i THEN n[i] + n[j] ELSE n[x] END),
+         i, j, h
+  FROM (SELECT step, m, n, i, j, h, list_transform(range(1, len(m) + 1), lambda k: {rule}) AS row
+    FROM (SELECT step, m, n, i, list_position(m[i], lows[i]) AS j, lows[i] AS h
+      FROM (SELECT step, m, n, lows, list_position(lows, list_min(lows)) AS i
+        FROM (SELECT step, m, n, list_transform(m, lambda r: list_min(r)) AS lows
+              FROM merging WHERE step < len(m) - 1)))))"""
+MERGES = """SELECT x.vec_id AS a, y.vec_id AS b, round(h, 6) AS height, CAST(n[a] AS BIGINT) AS size
+FROM merging JOIN pts x ON x.idx = a JOIN pts y ON y.idx = b WHERE step > 0"""
+RULES = {
+    "complete": "greatest(m[i][k], m[j][k])",
+    "average": "(n[i] * m[i][k] + n[j] * m[j][k]) / (n[i] + n[j])",
+    "ward": """sqrt(((n[i] + n[k]) * m[i][k] ** 2 + (n[j] + n[k]) * m[j][k] ** 2 - n[k] * h ** 2)
+                     / (n[i] + n[j] + n[k]))""",
+}
+
 ORACLE = {
     "corpus_scan": "SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS pos, text FROM documents",
     "conversation_scan": """SELECT conv_id, turn, row_number() OVER (ORDER BY conv_id, turn) - 1 AS pos, text
@@ -351,3 +383,12 @@ FROM tree JOIN pts x ON x.idx = a JOIN pts y ON y.idx = b"""),
     "cut_threshold": build(TREE, CUT_HEIGHT, select="SELECT id, label FROM labels"),
     "cluster_sizes": build(TREE, CUT_HEIGHT, select="SELECT label, count(*) AS n FROM labels GROUP BY label"),
 }
+ORACLE |= {
+    f"hclust_{name}": build(GREEDY.replace("{rule}", rule), select=MERGES) for name, rule in RULES.items()
+}
+WARD_TREE = """
+size AS (SELECT count(*) AS n FROM pts),
+tree AS (SELECT a, b, h, step AS ord FROM merging WHERE step > 0)"""
+ORACLE["ward_labels"] = build(
+    GREEDY.replace("{rule}", RULES["ward"]), WARD_TREE, CUT_COUNT, select="SELECT id, label FROM labels"
+)

@@ -392,7 +392,8 @@ def nearest_neighbours(spark, sf):
 
 def _merges(linkage):
     def query(spark, sf):
-        return cl.agglomerate(points(spark, sf), linkage)
+        merges = cl.agglomerate(points(spark, sf), linkage)
+        return merges.select("a", "b", r6("height").alias("height"), "size")
 
     query.__name__ = f"hclust_{linkage}"
     return query
