@@ -10,7 +10,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 from topicflow.operators.alignment import assignment_log  # noqa: E402
 from topicflow.plans.evolution import Config, report, run  # noqa: E402
-from topicflow.session import get_session  # noqa: E402
+from topicflow.session import get_session, ship_package  # noqa: E402
 from topicflow.sources.corpus import read_corpus, strip_mail  # noqa: E402
 
 
@@ -35,6 +35,7 @@ def parse_args(argv=None) -> argparse.Namespace:
 def main(argv=None) -> None:
     a = parse_args(argv)
     spark = get_session("topic-evolution")
+    ship_package(spark)
     keep = [a.order_by] if a.order_by else []
     corpus = read_corpus(spark, a.corpus, a.format, a.id_col, a.text_col, keep)
     if a.strip_mail:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import os
+import shutil
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -19,6 +23,17 @@ def get_session(app: str = "topicflow", master: str | None = None, **conf) -> Sp
     return builder.getOrCreate()
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, wherever the driver was started from."""
+    sc = spark.sparkContext
+    if getattr(sc, "_topicflow_shipped", False):
+        return
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    folder = tempfile.mkdtemp(prefix="topicflow-package-")
+    sc.addPyFile(shutil.make_archive(os.path.join(folder, "topicflow"), "zip", root, "topicflow"))
+    sc._topicflow_shipped = True
+
+
 def spread(corpus: DataFrame, key: str | None = None) -> DataFrame:
     """Spread a small input over all cores; leave a large one where its splits put it.
 
