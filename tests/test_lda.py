@@ -184,10 +184,10 @@ def test_pipeline_reaches_the_published_band(spark, tmp_path):
     row = out.result.first()
     assert (row["n_slices"], row["n_topics"], row["max_features"]) == (3, 5, 100)
     assert abs(row["avg_coherence"]) < 0.02
-    assert row["avg_diversity"] == pytest.approx(0.9533, abs=0.05)
-    assert row["evolution_smoothness"] == pytest.approx(0.7755, abs=0.05)
-    assert row["avg_alignment"] == pytest.approx(0.8789, abs=0.04)
-    assert row["avg_perplexity"] == pytest.approx(106.25, abs=1.0)
+    assert row["avg_diversity"] == pytest.approx(0.9533, abs=0.03)
+    assert row["evolution_smoothness"] == pytest.approx(0.7755, abs=0.02)
+    assert row["avg_alignment"] == pytest.approx(0.8789, abs=0.02)
+    assert row["avg_perplexity"] == pytest.approx(106.25, abs=0.5)
     header = "n_slices,n_topics,max_features,avg_coherence,avg_diversity,evolution_smoothness,avg_alignment,avg_perplexity"
     lines = spark.read.text(str(tmp_path / "csv")).collect()
     assert [r[0] for r in lines][0] == header and len(lines) == 2
@@ -212,6 +212,14 @@ def test_pipeline_rejects_bad_settings(spark):
         run(spark, corpus, Config(2, 2, 5, 1, top_n=10, stop_words=()))
 
 
+def test_library_estimator(spark):
+    corpus = word_corpus(spark, 40, vocab=20).withColumn("slice_id", F.lit(0))
+    vocab = vo.fit_vocabulary(corpus, 20, ()).cache()
+    topics = lda.fit_lda_mllib(corpus, vocab, 3, 2)
+    got = rows(topics.groupBy("topic_id").agg(F.round(F.sum("p"), 9), F.count_distinct("term_id")))
+    assert got == [(k, 1.0, 20) for k in range(3)]
+
+
 def test_string_document_ids(spark):
     corpus = word_corpus(spark, 60).withColumn("doc_id", F.concat(F.lit("d"), F.lpad("doc_id", 4, "0")))
     out = run(spark, corpus, Config(2, 2, 50, 2, stop_words=()))
