@@ -28,14 +28,13 @@ def broadcast_checked(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFram
 
 
 def _base_dir(spark: SparkSession) -> str:
-    configured = spark.conf.get("spark.checkpoint.dir", None)
+    """The shared folder: ``spark.checkpoint.dir``, else the context's checkpoint folder, else (local mode) a temporary one."""
+    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if configured:
         return configured.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
-    local = tempfile.mkdtemp(prefix="topicflow-")
-    spark.conf.set("spark.checkpoint.dir", local)
-    return local
+    return tempfile.mkdtemp(prefix="topicflow-")
 
 
 class Scratch:
@@ -56,8 +55,18 @@ class Scratch:
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def drop(self) -> None:
-        """Remove this job's tables (only its own sub-folder)."""
+    def _delete(self, where: str) -> None:
         jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.path)
+        path = jvm.org.apache.hadoop.fs.Path(where)
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+    def forget(self, *tables: DataFrame) -> None:
+        """Remove saved tables that nothing reads any more."""
+        for table in tables:
+            for folder in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+                if f"/{self.path.rsplit('/', 1)[1]}/" in f"{folder}/":
+                    self._delete(folder)
+
+    def drop(self) -> None:
+        """Remove this job's tables (only its own sub-folder)."""
+        self._delete(self.path)
