@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from topicflow.llm.exact_dedup import exact_duplicates
 from topicflow.llm.line_dedup import dedup_lines
+from topicflow.llm.near_dedup import near_duplicates
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,12 +22,17 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(_table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
     "op2_line_dedup": op2_line_dedup,
+    "op3_minhash_near_dedup": op3_minhash_near_dedup,
     "op6_exact_dedup": op6_exact_dedup,
 }
 
