@@ -12,6 +12,7 @@ from topicflow.llm.exact_dedup import exact_duplicates
 from topicflow.llm.line_dedup import dedup_lines
 from topicflow.llm.near_dedup import near_duplicates
 from topicflow.llm.substring_dedup import remove_repeats
+from topicflow.llm.suffix_dedup import remove_repeated_bytes
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,11 +37,17 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = remove_repeated_bytes(_table(spark, sf_dir, "documents"))
+    return done.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept_bytes", 256).alias("kept_sha256"))
+
+
 QUERIES = {
     "op2_line_dedup": op2_line_dedup,
     "op3_minhash_near_dedup": op3_minhash_near_dedup,
     "op4_substring_dedup": op4_substring_dedup,
     "op6_exact_dedup": op6_exact_dedup,
+    "op9_suffix_array_dedup": op9_suffix_array_dedup,
 }
 
 ORACLE = {
