@@ -190,18 +190,23 @@ def _set(text: bytes, size: int) -> set:
 
 def _confirm(batches: Iterator[pa.RecordBatch], size: int, percent: int) -> Iterator[pa.RecordBatch]:
     last: dict = {}
+
+    def known(doc: int, text: pa.Scalar) -> set:
+        """The document's set; those of a few documents are remembered, since pairs of one come together."""
+        if doc not in last:
+            if len(last) >= 16:
+                last.pop(next(iter(last)))
+            last[doc] = _set(text.as_py(), size)
+        return last[doc]
+
     for batch in batches:
         a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
         ta, tb = (batch.column(c).cast(pa.binary()) for c in ("ta", "tb"))
         keep = []
         for i, (x, y) in enumerate(zip(a, b)):
-            for doc, text in ((x, ta), (y, tb)):
-                if doc not in last:
-                    if len(last) >= 16:
-                        last.pop(next(iter(last)))
-                    last[doc] = _set(text[i].as_py(), size)
-            common = len(last[x] & last[y])
-            keep.append(100 * common >= percent * (len(last[x]) + len(last[y]) - common))
+            one, two = known(x, ta[i]), known(y, tb[i])
+            common = len(one & two)
+            keep.append(100 * common >= percent * (len(one) + len(two) - common))
         keep = pa.array(keep, pa.bool_())
         yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], ["a", "b"])
 

@@ -5,12 +5,15 @@ A query applies one operator to a whole table and derives the digest columns of
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from topicflow.llm.exact_dedup import exact_duplicates
+from topicflow.llm.language_id import fit_languages, predict_languages
 from topicflow.llm.line_dedup import dedup_lines
 from topicflow.llm.near_dedup import near_duplicates
+from topicflow.llm.packing import pack
 from topicflow.llm.substring_dedup import remove_repeats
 from topicflow.llm.suffix_dedup import remove_repeated_bytes
 
@@ -33,6 +36,10 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -42,12 +49,26 @@ def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept_bytes", 256).alias("kept_sha256"))
 
 
+def _fold(column: str, parts: int) -> F.Column:
+    """Number of the fold of an id: the CRC-32 of its digits."""
+    return F.crc32(F.col(column).cast("string").cast("binary")) % parts
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    held_out = F.coalesce(_fold("doc_id", 3) == 1, F.lit(False))
+    model = fit_languages(docs.filter(~held_out), "doc_id", "text", "lang")
+    return predict_languages(docs.select("doc_id", held_out.alias("held_out"), "text"), model).drop("text")
+
+
 QUERIES = {
     "op2_line_dedup": op2_line_dedup,
     "op3_minhash_near_dedup": op3_minhash_near_dedup,
     "op4_substring_dedup": op4_substring_dedup,
+    "op5_best_fit_packing": op5_best_fit_packing,
     "op6_exact_dedup": op6_exact_dedup,
     "op9_suffix_array_dedup": op9_suffix_array_dedup,
+    "op10_language_id": op10_language_id,
 }
 
 ORACLE = {

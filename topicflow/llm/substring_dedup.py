@@ -150,6 +150,21 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def _split(docs: DataFrame, id_col: str, text_col: str, window: int, gram: int) -> tuple[DataFrame, DataFrame]:
+    """Texts ``(id, text, spans)`` that certainly keep all words, and those that may lose some."""
+    scratch = Scratch(docs.sparkSession, "substring")
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    spans = repeats(texts.filter("id is not null"), window, gram, scratch)
+    bits = bloom.filter_bits(spans.count())
+    pages = scratch.save(bloom.build(spans.select(F.xxhash64("id").alias("k")), "k", bits), "holders")
+    looked = bloom.probe(texts, F.xxhash64("id"), pages, bits, "hit")
+    same = looked.filter("not hit").select("id", "text", F.lit(None).cast(spans.schema["spans"].dataType).alias("spans"))
+    return same, looked.filter("hit").join(spans, "id", "left").select("id", "text", "spans")
+
+
+_RESULT = "id long, n_words long, n_removed long, kept_text string"
+
+
 def remove_repeats(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, gram: int = 24
 ) -> DataFrame:
@@ -161,13 +176,13 @@ def remove_repeats(
     give an empty ``kept_text``.  Ids must be unique integers; a row with a null id neither
     loses words nor makes others lose any.  Other columns are not read.
     """
-    scratch = Scratch(docs.sparkSession, "substring")
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    spans = repeats(texts.filter("id is not null"), window, gram, scratch)
-    bits = bloom.filter_bits(spans.count())
-    pages = scratch.save(bloom.build(spans.select(F.xxhash64("id").alias("k")), "k", bits), "holders")
-    looked = bloom.probe(texts, F.xxhash64("id"), pages, bits, "hit")
-    same = looked.filter("not hit").select("id", "text", F.lit(None).cast(spans.schema["spans"].dataType).alias("spans"))
-    cut = looked.filter("hit").join(spans, "id", "left").select("id", "text", "spans")
-    schema = "id long, n_words long, n_removed long, kept_text string"
-    return same.mapInArrow(_cut, schema).union(cut.mapInArrow(_cut, schema)).withColumnRenamed("id", id_col)
+    same, cut = _split(docs, id_col, text_col, window, gram)
+    return same.mapInArrow(_cut, _RESULT).union(cut.mapInArrow(_cut, _RESULT)).withColumnRenamed("id", id_col)
+
+
+def shortened(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, gram: int = 24
+) -> DataFrame:
+    """The rows of ``remove_repeats`` that lose words."""
+    _, cut = _split(docs, id_col, text_col, window, gram)
+    return cut.mapInArrow(_cut, _RESULT).filter("n_removed > 0").withColumnRenamed("id", id_col)
