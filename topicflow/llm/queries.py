@@ -16,6 +16,7 @@ from topicflow.llm.near_dedup import near_duplicates
 from topicflow.llm.packing import pack
 from topicflow.llm.substring_dedup import remove_repeats
 from topicflow.llm.suffix_dedup import remove_repeated_bytes
+from topicflow.llm.toxicity import fit_toxicity, score_toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,6 +55,14 @@ def _fold(column: str, parts: int) -> F.Column:
     return F.crc32(F.col(column).cast("string").cast("binary")) % parts
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = _table(spark, sf_dir, "labels").filter(_fold("doc_id", 5) != 0)
+    chain = fit_toxicity(docs, labels, "doc_id", "text", "toxic")
+    done = score_toxicity(docs, chain)
+    return done.select("doc_id", (_fold("doc_id", 5) == 0).alias("held_out"), "score", "predicted", "spans")
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     held_out = F.coalesce(_fold("doc_id", 3) == 1, F.lit(False))
@@ -67,6 +76,7 @@ QUERIES = {
     "op4_substring_dedup": op4_substring_dedup,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_exact_dedup": op6_exact_dedup,
+    "op8_toxicity": op8_toxicity,
     "op9_suffix_array_dedup": op9_suffix_array_dedup,
     "op10_language_id": op10_language_id,
 }
