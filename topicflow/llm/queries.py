@@ -9,6 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from topicflow.llm.ann import nearest
 from topicflow.llm.exact_dedup import exact_duplicates
 from topicflow.llm.language_id import fit_languages, predict_languages
 from topicflow.llm.line_dedup import dedup_lines
@@ -55,6 +56,11 @@ def _fold(column: str, parts: int) -> F.Column:
     return F.crc32(F.col(column).cast("string").cast("binary")) % parts
 
 
+def op7_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings")
+    return nearest(vectors, vectors.filter("vec_id % 50 = 0"), k=5)
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = _table(spark, sf_dir, "labels").filter(_fold("doc_id", 5) != 0)
@@ -76,6 +82,7 @@ QUERIES = {
     "op4_substring_dedup": op4_substring_dedup,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_exact_dedup": op6_exact_dedup,
+    "op7_nearest_neighbours": op7_nearest_neighbours,
     "op8_toxicity": op8_toxicity,
     "op9_suffix_array_dedup": op9_suffix_array_dedup,
     "op10_language_id": op10_language_id,
