@@ -33,7 +33,8 @@ from topicflow.llm import bloom, words
 from topicflow.llm.spans import anchors, merged
 from topicflow.scratch import Scratch
 
-BUCKET = 1 << 20
+#: Bytes of segments in a bucket: small enough for the processor's cache.
+BUCKET = 1 << 18
 HOT = 8 << 20
 _KEY, _AT = np.uint64(0x9FB21C651E98DF25), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -42,7 +43,10 @@ def _range_minimum(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np
     """Smallest of ``values[start:end]`` for each pair; ``values`` has one entry more than ``end`` needs."""
     if not start.size:
         return values[:0]
-    return np.minimum.reduceat(values, np.stack([start, end], axis=1).ravel())[::2]
+    order = np.argsort(start)  # else the stretches between intervals would be reduced over and over
+    out = np.empty(start.size, values.dtype)
+    out[order] = np.minimum.reduceat(values, np.stack([start[order], end[order]], axis=1).ravel())[::2]
+    return out
 
 
 def collection_order(data: np.ndarray, ends: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -236,6 +240,7 @@ def repeated_spans(docs: DataFrame, window: int, gram: int, scratch: Scratch, ho
     ordinary = (
         found.filter(f"bytes <= {hot}")
         .select(F.expr(f"pmod(xxhash64(anchor), {buckets})").alias("bucket"), "id", "at", "segment")
+        .repartition(buckets // 8 + 1, "bucket")  # few bytes but much work: not to be joined into fewer tasks
         .groupBy("bucket").applyInArrow(_bucket_spans(window), "id long, s long, e long")
     )
     crowded = scratch.save(
@@ -273,7 +278,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def remove_repeated_bytes(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 400, gram: int = 200
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 400, gram: int = 300
 ) -> DataFrame:
     """``(id, n_bytes, n_removed, n_spans, kept_bytes)`` for every row of ``docs``.
 
