@@ -175,7 +175,7 @@ etok AS (SELECT doc_id, unnest(regexp_extract_all(text, '{PATTERN}')) AS term FR
 tok AS (SELECT * FROM etok WHERE term NOT IN ({STOP})),
 dtc AS (SELECT doc_id, term, count(*) AS cnt FROM tok GROUP BY doc_id, term)"""
 
-# 50 scaling rounds over lists, one row per slice pair
+# up to 200 scaling rounds over lists, one row per slice pair; a pair stops when u moves less than 1e-9
 SINKHORN = """
 mass AS (SELECT slice_id, topic_id, sum(lam) AS w FROM counts GROUP BY slice_id, topic_id),
 share AS (SELECT slice_id, topic_id, {weight} / sum({weight}) OVER (PARTITION BY slice_id) AS w FROM mass),
@@ -190,15 +190,16 @@ prob AS (SELECT r.problem, r.m AS rows, c.m AS cols, a.w AS a, b.w AS b
          FROM by_row r JOIN by_col c USING (problem)
          JOIN sides a ON a.slice_id = r.problem JOIN sides b ON b.slice_id = r.problem + 1),
 sink AS (
-  SELECT problem, 0 AS it, [1.0::DOUBLE, 1, 1, 1] AS u, [1.0::DOUBLE, 1, 1, 1] AS v FROM prob
+  SELECT problem, 0 AS it, [1.0::DOUBLE, 1, 1, 1] AS u, [1.0::DOUBLE, 1, 1, 1] AS v, 'inf'::DOUBLE AS moved FROM prob
   UNION ALL
   SELECT problem, it + 1, u2,
-         list_transform(range(1, 5), lambda j: b[j] / list_dot_product(cols[j], u2))
-  FROM (SELECT s.problem, it, cols, b,
+         list_transform(range(1, 5), lambda j: b[j] / list_dot_product(cols[j], u2)), list_distance(u, u2)
+  FROM (SELECT s.problem, it, cols, b, u,
                list_transform(range(1, 5), lambda i: a[i] / list_dot_product(rows[i], v)) AS u2
-        FROM sink s JOIN prob p ON p.problem = s.problem WHERE it < 50)),
+        FROM sink s JOIN prob p ON p.problem = s.problem WHERE it < 200 AND NOT moved < 1e-9)),
 plan AS (SELECT k.problem, k.i, k.j, k.c, s.u[k.i + 1] * s.v[k.j + 1] * k.k AS gamma
-         FROM kernel k JOIN sink s ON s.problem = k.problem AND s.it = 50)"""
+         FROM kernel k JOIN (SELECT problem, arg_max(u, it) AS u, arg_max(v, it) AS v FROM sink GROUP BY problem) s
+           ON s.problem = k.problem)"""
 WEIGHTED = SINKHORN.replace("{weight}", "w")
 UNIFORM = SINKHORN.replace("{weight}", "1.0::DOUBLE")
 
@@ -315,7 +316,9 @@ FROM dtc JOIN vocab USING (term) JOIN esl USING (doc_id) GROUP BY slice_id, term
     "topic_word": build(
         *TOPICS,
         select="""SELECT slice_id, topic_id, term_id,
-  round((lam + 0.25) / sum(lam + 0.25) OVER (PARTITION BY slice_id, topic_id), 6) AS p FROM counts""",
+  round((coalesce(lam, 0) + 0.25) / sum(coalesce(lam, 0) + 0.25) OVER (PARTITION BY slice_id, topic_id), 6) AS p
+FROM (SELECT DISTINCT slice_id, topic_id FROM counts) CROSS JOIN (SELECT term_id FROM vocab)
+LEFT JOIN counts USING (slice_id, topic_id, term_id)""",
     ),
     "doc_freq": build(*BASE, select="""SELECT slice_id, term_id, count(*) AS n_docs FROM dtm
 GROUP BY slice_id, term_id"""),

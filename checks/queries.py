@@ -21,7 +21,6 @@ from topicflow.operators import transport as tr
 from topicflow.operators import vocabulary as vo
 from topicflow.plans.evolution import Config, run
 from topicflow.scratch import Scratch
-from topicflow.session import spread
 from topicflow.sources import corpus as co
 
 SLICES = 5
@@ -41,7 +40,7 @@ def r6(column: str | Column) -> Column:
 
 
 def docs(spark: SparkSession, sf_dir: str, keep=()) -> DataFrame:
-    return spread(co.read_corpus(spark, f"{sf_dir}/documents.parquet", keep=keep))
+    return co.read_corpus(spark, f"{sf_dir}/documents.parquet", keep=keep)
 
 
 class Prepared:
@@ -95,7 +94,7 @@ def corpus_scan(spark, sf):
 
 
 def conversation_scan(spark, sf):
-    df = spread(table(spark, sf, "conversations").select("conv_id", "turn", "text"))
+    df = table(spark, sf, "conversations").select("conv_id", "turn", "text")
     return sl.with_position(df, ["conv_id", "turn"]).select("conv_id", "turn", "pos", "text")
 
 
@@ -139,7 +138,7 @@ def dtm_transform(spark, sf):
     turns = table(spark, sf, "conversations").select(
         (F.col("conv_id") * 100000 + F.col("turn") + 1000000000).alias("doc_id"), "text"
     )
-    return vo.doc_term_matrix(vo.pack_documents(spread(new.unionByName(turns)), vocab))
+    return vo.doc_term_matrix(vo.pack_documents(new.unionByName(turns), vocab))
 
 
 # --- slices ------------------------------------------------------------------
@@ -160,7 +159,7 @@ def time_sliced_corpus(spark, sf):
     )
     sliced = sl.slice_by_time(df, "ts", "7 days").drop("ts")
     vocab = Scratch(spark, "vocab").save(vo.fit_vocabulary(df, VOCABULARY), "vocab")
-    cells = vo.doc_term_matrix(vo.pack_documents(spread(sliced), vocab))
+    cells = vo.doc_term_matrix(vo.pack_documents(sliced, vocab))
     return cells.groupBy("slice_id", "term_id").agg(
         F.sum("cnt").alias("cnt"), F.count(F.lit(1)).alias("n_docs")
     )
@@ -174,10 +173,13 @@ def topic_word(spark, sf):
     cells = p.packed.select(
         "slice_id", F.col("topic").alias("topic_id"), F.explode_outer(F.arrays_zip("terms", "cnts")).alias("e")
     ).filter(F.col("e").isNotNull())
-    counts = cells.groupBy("slice_id", "topic_id", F.col("e.terms").alias("term_id")).agg(
-        (F.sum("e.cnts") + 0.25).alias("lam")
-    )
-    return tp.normalise_rows(counts).withColumn("p", r6("p"))
+    counts = cells.groupBy("slice_id", "topic_id", F.col("e.terms").alias("term_id")).agg(F.sum("e.cnts").alias("n"))
+    # every term of every topic, met or not: a row per topic unfolds the vocabulary's ids
+    terms = F.expr(f"sequence(0, {p.vocab.count() - 1})")
+    grid = counts.select("slice_id", "topic_id").distinct().select("*", F.explode(terms).alias("term_id"))
+    full = grid.join(counts, ["slice_id", "topic_id", "term_id"], "left")
+    weights = p.scratch.save(full.select("slice_id", "topic_id", "term_id", (F.coalesce("n", F.lit(0.0)) + 0.25).alias("lam")), "lambda")
+    return tp.normalise_rows(weights).withColumn("p", r6("p"))
 
 
 def doc_freq(spark, sf):
@@ -326,7 +328,7 @@ def perplexity(spark, sf):
 
 
 def evolution_report(spark, sf):
-    result = run(spark, docs(spark, sf), Config(max_iter=10)).result
+    result = run(spark, docs(spark, sf), Config()).result
     shown = {"avg_coherence": 4, "avg_diversity": 4, "evolution_smoothness": 4, "avg_alignment": 4, "avg_perplexity": 2}
     return result.select("*", *[F.format_number(c, d).alias(f"{c}_text") for c, d in shown.items()])
 
@@ -350,27 +352,23 @@ def _transport(spark, sf):
     return a, b, cost
 
 
-# a fixed number of rounds, so that both engines do the same arithmetic
-ROUNDS = 50
-
-
 def ot_kernel(spark, sf):
     return tr.gibbs_kernel(_transport(spark, sf)[2]).withColumn("c", r6("c")).withColumn("k", r6("k"))
 
 
 def sinkhorn_plan(spark, sf):
-    plan = tr.sinkhorn(*_transport(spark, sf), max_iter=ROUNDS, tol=0.0)
+    plan = tr.sinkhorn(*_transport(spark, sf))
     return plan.withColumn("c", r6("c")).withColumn("gamma", r6("gamma"))
 
 
 def ot_distance(spark, sf):
-    plan = tr.sinkhorn(*_transport(spark, sf), max_iter=ROUNDS, tol=0.0)
+    plan = tr.sinkhorn(*_transport(spark, sf))
     return tr.ot_distance(plan).withColumn("distance", r6("distance"))
 
 
 def topic_ot_alignment(spark, sf):
     cost = _transport(spark, sf)[2]
-    plan = tr.sinkhorn(*tr.uniform_marginals(cost), cost, max_iter=ROUNDS, tol=0.0)
+    plan = tr.sinkhorn(*tr.uniform_marginals(cost), cost)
     return tr.soft_alignment(plan).withColumn("gamma", r6("gamma"))
 
 

@@ -22,11 +22,13 @@ def parse_args(argv=None) -> argparse.Namespace:
     p.add_argument("--id_col", default="doc_id")
     p.add_argument("--text_col", default="text")
     p.add_argument("--order_by", default="", help="order column; the document id by default")
-    p.add_argument("--strip_mail", action="store_true", help="remove mail headers, footers and quotes")
+    p.add_argument("--strip_mail", nargs="*", choices=("headers", "footers", "quotes"), default=None,
+                   help="remove these parts of mail; all of them if none is named")
     p.add_argument("--n_slices", type=int, default=d.n_slices)
     p.add_argument("--n_topics", type=int, default=d.n_topics)
     p.add_argument("--max_features", type=int, default=d.max_features)
     p.add_argument("--max_iter", type=int, default=d.max_iter)
+    p.add_argument("--top_n", type=int, default=d.top_n, help="words per topic for coherence and diversity")
     p.add_argument("--random_state", type=int, default=d.random_state)
     p.add_argument("--output_csv", default=None, help="folder for the one-row CSV")
     return p.parse_args(argv)
@@ -38,10 +40,10 @@ def main(argv=None) -> None:
     ship_package(spark)
     keep = [a.order_by] if a.order_by else []
     corpus = read_corpus(spark, a.corpus, a.format, a.id_col, a.text_col, keep)
-    if a.strip_mail:
-        corpus = strip_mail(corpus)
+    if a.strip_mail is not None:
+        corpus = strip_mail(corpus, a.strip_mail or ("headers", "footers", "quotes"))
     cfg = Config(
-        a.n_slices, a.n_topics, a.max_features, a.max_iter, a.random_state,
+        a.n_slices, a.n_topics, a.max_features, a.max_iter, a.random_state, a.top_n,
         order_cols=tuple(keep) or ("doc_id",),
     )
     out = run(spark, corpus, cfg, a.output_csv)

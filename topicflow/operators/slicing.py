@@ -26,6 +26,17 @@ def _ranges(df: DataFrame, order_cols: Sequence[str], scratch: Scratch) -> tuple
     return saved, counts
 
 
+def check_unique(df: DataFrame, columns: Sequence[str]) -> None:
+    """Raise ``ValueError`` unless ``columns`` name each row: no NULL, no repeat.  Only these columns are shuffled."""
+    missing = F.lit(False)
+    for c in columns:
+        missing = missing | F.col(c).isNull()
+    bad = df.groupBy(*columns).agg(F.count(F.lit(1)).alias("_n")).filter((F.col("_n") > 1) | missing)
+    found = bad.take(1)
+    if found:
+        raise ValueError(f"{tuple(columns)} must be unique and not NULL; found {found[0].asDict()}")
+
+
 def rows_at(
     df: DataFrame, order_cols: Sequence[str], fractions=None, positions=None, scratch: Scratch | None = None
 ) -> tuple[int, list[Row]]:
@@ -105,15 +116,20 @@ def slice_by_position(
     tie_break: str = "doc_id",
     scratch: Scratch | None = None,
 ) -> DataFrame:
-    """Add ``slice_id``: ``n_slices`` runs of ``N div n_slices`` rows, the last takes the rest."""
+    """Add ``slice_id``: ``n_slices`` runs of ``N div n_slices`` rows, the last takes the rest.
+
+    ``tie_break`` must be unique and not NULL, or borders could not be told from their neighbours.
+    """
     if n_slices < 1:
-        raise ValueError("Number of slices must be at least 1")
+        raise ValueError(f"n_slices={n_slices}: at least 1 slice is needed")
     order = list(order_cols) + ([tie_break] if tie_break not in order_cols else [])
     if n_slices == 1:
         if not df.take(1):
             raise ValueError("0 documents cannot fill 1 slice")
         return df.withColumn("slice_id", F.lit(0))
 
+    check_unique(df, [tie_break])
+
     def borders(total: int) -> list[int]:
         if total < n_slices:
             raise ValueError(f"{total} documents cannot fill {n_slices} slices")

@@ -11,8 +11,9 @@ TOPIC = ("slice_id", "topic_id")
 
 def normalise_rows(weights: DataFrame, weight_col: str = "lam") -> DataFrame:
     """Weights per (slice, topic, term) -> probabilities that sum to 1 per topic."""
-    total = F.sum(weight_col).over(Window.partitionBy(*TOPIC))
-    return weights.select(*TOPIC, "term_id", (F.col(weight_col) / total).alias("p"))
+    # partial sums and a join by topic: the cells themselves are not shuffled for the totals
+    total = weights.groupBy(*TOPIC).agg(F.sum(weight_col).alias("_total"))
+    return weights.join(total, list(TOPIC)).select(*TOPIC, "term_id", (F.col(weight_col) / F.col("_total")).alias("p"))
 
 
 def labelled_topics(packed: DataFrame, label: str) -> DataFrame:

@@ -133,12 +133,14 @@ def pack_documents(
         )
         runs = with_run_lengths(ids, "_ids", "_runs", "term_id")
     else:
-        counted = with_run_lengths(toks, "_tokens", "_term_runs", "term").select(
-            *keys, F.inline_outer("_term_runs")
-        )
+        if corpus.isStreaming:
+            raise ValueError(f"a vocabulary of more than {INLINE_VOCABULARY} terms is joined by row, which needs a batch DataFrame")
+        # rows are told apart by a number of their own, so repeated ids stay apart as in the look-up
+        numbered = with_run_lengths(toks.withColumn("_row", F.monotonically_increasing_id()), "_tokens", "_term_runs", "term")
+        counted = numbered.select("_row", *keys, F.inline_outer("_term_runs"))
         known = counted.join(vocab, "term", "left")
         entry = F.when(F.col("term_id").isNotNull(), F.struct("term_id", "cnt"))
-        runs = known.groupBy(*keys).agg(F.sort_array(F.collect_list(entry)).alias("_runs"))
+        runs = known.groupBy("_row", *keys).agg(F.sort_array(F.collect_list(entry)).alias("_runs"))
     runs = runs.withColumn("_runs", F.coalesce("_runs", F.array().cast("array<struct<term_id:int,cnt:bigint>>")))
     return runs.select(
         *keys,

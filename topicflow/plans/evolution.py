@@ -27,7 +27,7 @@ class Config:
 
     def check(self) -> None:
         if self.n_slices < 1:
-            raise ValueError("Number of slices must be at least 1")
+            raise ValueError(f"n_slices={self.n_slices}: at least 1 slice is needed")
         for name in ("n_topics", "max_features", "max_iter", "top_n"):
             if getattr(self, name) < 1:
                 raise ValueError(f"{name} must be at least 1")

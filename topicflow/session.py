@@ -1,4 +1,4 @@
-"""Session defaults and input spreading."""
+"""Session defaults."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ import os
 import shutil
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 
 def get_session(app: str = "topicflow", master: str | None = None, **conf) -> SparkSession:
@@ -32,19 +32,3 @@ def ship_package(spark: SparkSession) -> None:
     folder = tempfile.mkdtemp(prefix="topicflow-package-")
     sc.addPyFile(shutil.make_archive(os.path.join(folder, "topicflow"), "zip", root, "topicflow"))
     sc._topicflow_shipped = True
-
-
-def spread(corpus: DataFrame, key: str | None = None) -> DataFrame:
-    """Spread a small input over all cores; leave a large one where its splits put it.
-
-    A file with few row groups scans in few tasks however many cores there are,
-    and tokenising is CPU-bound.  Once there is a full split per core the scan
-    needs no help, and the text must not be shuffled.
-    """
-    spark = corpus.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    split = 128 << 20
-    size = int(corpus._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    if size >= cores * split:
-        return corpus
-    return corpus.repartition(cores, key or corpus.columns[0])

@@ -77,5 +77,5 @@ def strip_mail(df: DataFrame, parts: Sequence[str] = ("headers", "footers", "quo
 
 
 def write_result_csv(row: DataFrame, path: str) -> None:
-    """Header plus the one summary row, in the row's column order."""
-    row.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+    """Header plus the one summary row, in the row's column order.  A folder that exists is an error, never replaced."""
+    row.coalesce(1).write.mode("errorifexists").option("header", True).csv(path)
