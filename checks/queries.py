@@ -48,7 +48,7 @@ class Prepared:
 
     def __init__(self, spark: SparkSession, sf_dir: str, label: str = "lang", stop_words=()):
         self.scratch = Scratch(spark, "check")
-        corpus = docs(spark, sf_dir, keep=("lang", "source"))
+        corpus = self.scratch.save(vo.count_documents(docs(spark, sf_dir, keep=("lang", "source"))), "counted")
         sliced = sl.slice_by_position(corpus, SLICES, scratch=self.scratch)
         self.vocab = self.scratch.save(vo.fit_vocabulary(corpus, VOCABULARY, stop_words), "vocab")
         packed = vo.pack_documents(sliced, self.vocab)
@@ -302,7 +302,7 @@ def metrics_csv(spark, sf):
 
 def _fitted(spark, sf, max_iter: int = 10):
     scratch = Scratch(spark, "fit")
-    corpus = docs(spark, sf)
+    corpus = scratch.save(vo.count_documents(docs(spark, sf)), "counted")
     vocab = scratch.save(vo.fit_vocabulary(corpus, VOCABULARY), "vocab")
     sliced = sl.slice_by_position(corpus, SLICES, scratch=scratch)
     packed = scratch.save(vo.pack_documents(sliced, vocab), "packed")

@@ -38,12 +38,21 @@ def remove_stop_words(
     return df.filter(~F.col(column).isin(words)) if words else df
 
 
+def count_documents(corpus: DataFrame) -> DataFrame:
+    """The corpus with ``counted array<struct<term, cnt>>`` in place of its text; narrow.
+
+    Saved once, it serves the vocabulary and packing, so each text is tokenised once.
+    A corpus that is counted already is returned as it is.
+    """
+    if "counted" in corpus.columns:
+        return corpus
+    keys = [c for c in corpus.columns if c != "text"]
+    return with_run_lengths(corpus.select(*keys, tokens(F.col("text")).alias("_tokens")), "_tokens", "counted", "term").drop("_tokens")
+
+
 def doc_term_counts(corpus: DataFrame, stop_words: Iterable[str] = ENGLISH_STOP_WORDS) -> DataFrame:
     """``(doc_id, term, cnt)`` without a shuffle: counting happens inside the row."""
-    counted = with_run_lengths(
-        corpus.select("doc_id", tokens(F.col("text")).alias("_tokens")), "_tokens", "_runs", "term"
-    )
-    rows = counted.select("doc_id", F.inline_outer("_runs")).filter(F.col("term").isNotNull())
+    rows = count_documents(corpus).select("doc_id", F.inline_outer("counted")).filter(F.col("term").isNotNull())
     return remove_stop_words(rows, "term", stop_words)
 
 
@@ -51,11 +60,8 @@ def term_frequencies(
     corpus: DataFrame, stop_words: Iterable[str] = ENGLISH_STOP_WORDS
 ) -> DataFrame:
     """``(term, tf)`` over the whole corpus, partially counted before its one shuffle."""
-    exploded = corpus.select(F.explode_outer(tokens(F.col("text"))).alias("term"))
-    exploded = exploded.filter(F.col("term").isNotNull())
-    return remove_stop_words(exploded, "term", stop_words).groupBy("term").agg(
-        F.count(F.lit(1)).alias("tf")
-    )
+    rows = count_documents(corpus).select(F.inline_outer("counted")).filter(F.col("term").isNotNull())
+    return remove_stop_words(rows, "term", stop_words).groupBy("term").agg(F.sum("cnt").alias("tf"))
 
 
 def fit_vocabulary(
@@ -110,7 +116,7 @@ def _lookup_table(vocab: DataFrame, size: int) -> tuple[Column, int]:
 def pack_documents(
     corpus: DataFrame, vocab: DataFrame, vocab_size: int | None = None
 ) -> DataFrame:
-    """One row per document: its columns but ``text``, plus sorted ``terms`` and ``cnts``.
+    """One row per document: its columns but ``text`` (or ``counted``), plus sorted ``terms`` and ``cnts``.
 
     Documents without a known term stay, with empty arrays.  A vocabulary of up
     to ``INLINE_VOCABULARY`` terms is looked up inside the row, with no shuffle at
@@ -118,27 +124,25 @@ def pack_documents(
     """
     vocab = vocab.select("term", "term_id")
     size = check_vocabulary(vocab) if vocab_size is None else vocab_size
-    keys = [c for c in corpus.columns if c != "text"]
-    toks = corpus.select(*keys, tokens(F.col("text")).alias("_tokens"))
+    keys = [c for c in corpus.columns if c not in ("text", "counted")]
+    counted = count_documents(corpus)
     if size <= INLINE_VOCABULARY:
         table, buckets = _lookup_table(vocab, size)
 
-        def term_id(token: Column) -> Column:
-            slot = F.pmod(F.xxhash64(token), F.lit(buckets)).cast("int")
-            return F.try_element_at(F.get(F.col("_table"), slot), token)
+        def entry(run: Column) -> Column:
+            slot = F.pmod(F.xxhash64(run["term"]), F.lit(buckets)).cast("int")
+            number = F.try_element_at(F.get(F.col("_table"), slot), run["term"])
+            return F.struct(number.alias("term_id"), run["cnt"].alias("cnt"))
 
-        ids = toks.withColumn("_table", table).select(
-            *keys,
-            F.filter(F.transform("_tokens", term_id), lambda i: i.isNotNull()).alias("_ids"),
-        )
-        runs = with_run_lengths(ids, "_ids", "_runs", "term_id")
+        ids = counted.withColumn("_table", table).select(*keys, F.transform("counted", entry).alias("_ids"))
+        known = F.filter("_ids", lambda e: e["term_id"].isNotNull())
+        runs = ids.select(*keys, F.sort_array(known).alias("_runs"))
     else:
         if corpus.isStreaming:
             raise ValueError(f"a vocabulary of more than {INLINE_VOCABULARY} terms is joined by row, which needs a batch DataFrame")
         # rows are told apart by a number of their own, so repeated ids stay apart as in the look-up
-        numbered = with_run_lengths(toks.withColumn("_row", F.monotonically_increasing_id()), "_tokens", "_term_runs", "term")
-        counted = numbered.select("_row", *keys, F.inline_outer("_term_runs"))
-        known = counted.join(vocab, "term", "left")
+        numbered = counted.withColumn("_row", F.monotonically_increasing_id())
+        known = numbered.select("_row", *keys, F.inline_outer("counted")).join(vocab, "term", "left")
         entry = F.when(F.col("term_id").isNotNull(), F.struct("term_id", "cnt"))
         runs = known.groupBy("_row", *keys).agg(F.sort_array(F.collect_list(entry)).alias("_runs"))
     runs = runs.withColumn("_runs", F.coalesce("_runs", F.array().cast("array<struct<term_id:int,cnt:bigint>>")))

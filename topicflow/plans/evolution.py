@@ -58,21 +58,23 @@ class Evolution:
 def run(spark: SparkSession, corpus: DataFrame, cfg: Config = Config(), output_csv: str | None = None) -> Evolution:
     """Run on ``corpus(doc_id, text, ...order columns)``.
 
-    The text is read twice - for the vocabulary and for packing - and never
-    shuffled; everything after works on the packed term counts.
+    The text is read and tokenised once, and never shuffled; everything after works on
+    saved term counts.
     """
     cfg.check()
     scratch = Scratch(spark, "run")
     keep = [c for c in ("doc_id", "text", *cfg.order_cols) if c in corpus.columns]
     corpus = corpus.select(*dict.fromkeys(keep))
+    corpus = scratch.save(vocabulary.count_documents(corpus), "counted")
     vocab = scratch.save(vocabulary.fit_vocabulary(corpus, cfg.max_features, cfg.stop_words), "vocab")
     n_terms = vocabulary.check_vocabulary(vocab)
     if cfg.top_n > n_terms:
         raise ValueError(f"top_n={cfg.top_n} exceeds the vocabulary of {n_terms} terms")
     sliced = slicing.slice_by_position(corpus, cfg.n_slices, cfg.order_cols, scratch=scratch)
     packed = scratch.save(
-        vocabulary.pack_documents(sliced.select("doc_id", "slice_id", "text"), vocab, n_terms), "packed"
+        vocabulary.pack_documents(sliced.select("doc_id", "slice_id", "counted"), vocab, n_terms), "packed"
     )
+    scratch.forget(corpus)
     sizes = scratch.save(slicing.slice_sizes(packed), "sizes")
 
     model = lda.fit_lda(
