@@ -14,7 +14,8 @@ anchor (its smallest n-gram), and
 1. anchors seen twice go into a bounded Bloom filter;
 2. an anchor in the filter gives one segment, the bytes of all windows that select it.  Equal segments
    are covered whole and one of them stands for all;
-3. where an anchor has different segments, one of each goes, by anchor, into a bucket.
+3. where an anchor has different segments, and more than the anchor is shared to one side, one of each goes, by
+   anchor, into a bucket.
    Rounds are at most ``2 * window - gram``, whatever the texts' lengths;
 4. an anchor with more than ``HOT`` bytes of segments is not put into one task: its windows are counted
    by 128-bit hashes with partial sums, which finds the same strings.
@@ -140,12 +141,19 @@ def _key(s1: np.ndarray, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 def _segments(batches, window: int, gram: int, repeated: bloom.TaskFilter):
     for ids, data, offsets in _pieces(batches):
-        doc, start, count, _, value = anchors(data, offsets, window, gram)
+        doc, start, count, place, value = anchors(data, offsets, window, gram)
         keep = repeated.maybe(value)
-        doc, start, count, value = doc[keep], start[keep], count[keep], value[keep]
+        doc, start, count, place, value = doc[keep], start[keep], count[keep], place[keep], value[keep]
         s1, s2 = (words.runs_hash(data, start, start + count + window - 1, k) for k in (0, 1))
         at = start - offsets[doc]
-        yield _batch("anchor s1 s2 key id at n", value, s1, s2, _key(s1, ids[doc], at), ids[doc], at, count)
+        key = _key(s1, ids[doc], at)
+        # a window reaches at least half of the rest to the left of its anchor, or at least half to the right
+        half = (window - gram) // 2
+        left = words.runs_hash(data, np.maximum(place - half, start), place + gram)
+        left = np.where(start <= place - half, left, key)
+        right = words.runs_hash(data, place, np.minimum(place + window - half, data.size)) ^ _AT
+        right = np.where(start + count > place - half, right, key ^ _KEY)
+        yield _batch("anchor s1 s2 key id at n left right", value, s1, s2, key, ids[doc], at, count, left, right)
 
 
 def _heads(batches, window: int, gram: int, wanted: bloom.TaskFilter, holders: bloom.TaskFilter):
@@ -211,21 +219,25 @@ def repeated_spans(docs: DataFrame, window: int, gram: int, scratch: Scratch, ho
     segments = scratch.save(
         docs.mapInArrow(
             lambda it: _segments(it, window, gram, seen),
-            "anchor long, s1 long, s2 long, key long, id long, at long, n long",
+            "anchor long, s1 long, s2 long, key long, id long, at long, n long, left long, right long",
         ),
         "segments",
     )
     classes = scratch.save(
         segments.groupBy("s1", "s2").agg(
-            F.count(F.lit(1)).alias("size"), F.min("anchor").alias("anchor"), F.min(F.struct("id", "at", "key", "n")).alias("head")
+            F.count(F.lit(1)).alias("size"), F.min("anchor").alias("anchor"), F.min(F.struct("id", "at", "key", "n", "left", "right")).alias("head")
         ),
         "classes",
     )
     many = classes.filter("size > 1").select("s1", "s2")
     copied = segments.join(many, ["s1", "s2"], "left_semi").select("id", F.col("at").alias("s"), F.expr(f"at + n + {window - 1}").alias("e"))
-    contested = classes.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.sum(F.expr(f"head.n + {window - 1}")).alias("bytes")).filter("n > 1")
-    contested = scratch.save(contested.drop("n"), "contested")
-    heads = scratch.save(classes.join(contested, "anchor").select("head.key", "head.id", "bytes"), "heads")
+    halves = classes.select("anchor", "head", F.explode(F.array("head.left", "head.right")).alias("half"))
+    shared = halves.groupBy("half").count().filter("count > 1").select("half")
+    alive = halves.join(shared, "half", "left_semi").select("anchor", "head").distinct()
+    alive = scratch.save(alive.select("anchor", "head.key", "head.id", "head.n"), "alive")
+    contested = alive.groupBy("anchor").agg(F.count(F.lit(1)).alias("m"), F.sum(F.expr(f"n + {window - 1}")).alias("bytes")).filter("m > 1")
+    contested = scratch.save(contested.drop("m"), "contested")
+    heads = scratch.save(alive.join(contested, "anchor").select("key", "id"), "heads")
     bits = bloom.filter_bits(heads.count())
     wanted = bloom.share(spark, bloom.build(heads, "key", bits), bits)
     holder = heads.select("id").distinct().mapInArrow(_mixed_ids, "id long")
@@ -251,7 +263,7 @@ def repeated_spans(docs: DataFrame, window: int, gram: int, scratch: Scratch, ho
     met = crowded.join(twice, ["w1", "w2"], "left_semi").select("id", F.col("at").alias("s"), F.expr(f"at + {window}").alias("e"))
     spans = copied.union(ordinary).union(met).groupBy("id").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
     spans = scratch.save(spans, "spans")
-    scratch.forget(repeated, segments, classes, contested, heads, found, crowded)
+    scratch.forget(repeated, segments, classes, alive, contested, heads, found, crowded)
     return spans
 
 
