@@ -70,35 +70,44 @@ def _slots(features: np.ndarray) -> np.ndarray:
     return (words.mix(features) >> np.uint64(64 - BITS)).astype(np.int32)
 
 
-def explaining(features: list[np.ndarray], toxic: np.ndarray, cost: float = 3.0, share: float = 0.01, fewest: int = 4) -> set[int]:
+def explaining(features: list[np.ndarray], toxic: np.ndarray, cost: float = 3.0, share: float = 0.01, fewest: int = 6, most: int = 4) -> set[int]:
     """Features that together explain the toxic documents, chosen greedily by newly explained less ``cost`` times clean.
 
-    Each must explain ``share`` of the toxic documents anew, and ``fewest`` at least.
+    A document weighs as often as it has the feature, up to ``most`` times, for what makes it toxic tends to recur.  Each
+    choice must gain ``share`` of the number of toxic documents, and ``fewest`` at least.  Features that only repeat what others
+    explain come in, too, if three in a hundred toxic documents have them (ten at least), and fifty times as many as clean ones.
     """
-    least = max(fewest, int(share * int(toxic.sum())))
-    kinds = [np.unique(f[:, :-1]) for f in features]
-    clean = Counter()
-    for k, t in zip(kinds, toxic):
-        if not t:
-            clean.update(k.tolist())
-    left = {i: set(k.tolist()) for i, (k, t) in enumerate(zip(kinds, toxic)) if t}
-    count = Counter(x for s in left.values() for x in s)
+    n_toxic = int(toxic.sum())
+    least = max(fewest, int(share * n_toxic))
+    clean_docs: Counter = Counter()
+    clean: Counter = Counter()
+    left: dict[int, dict[int, int]] = {}
+    for i, (f, t) in enumerate(zip(features, toxic)):
+        kinds, often = np.unique(f[:, :-1], return_counts=True)
+        weighed = dict(zip(kinds.tolist(), np.minimum(often, most).tolist()))
+        if t:
+            left[i] = weighed
+        else:
+            clean.update(weighed)
+            clean_docs.update(weighed.keys())
+    gain: Counter = Counter()
     holders: dict[int, list[int]] = {}
-    for i, s in left.items():
-        for x in s:
-            if count[x] >= least and count[x] > cost * clean[x]:
-                holders.setdefault(x, []).append(i)
-    chosen: set[int] = set()
-    gain = {x: len(h) for x, h in holders.items()}
+    for i, weighed in left.items():
+        gain.update(weighed)
+        for x in weighed:
+            holders.setdefault(x, []).append(i)
+    gain = Counter({x: n for x, n in gain.items() if n >= least and n > cost * clean[x]})
+    often = max(10, 0.03 * n_toxic)
+    chosen = {x for x, h in holders.items() if len(h) >= often and len(h) > 50 * clean_docs[x]}
     while gain:
         best = max(gain, key=lambda x: (gain[x] - cost * clean[x], -x))
         if gain[best] < least or gain[best] <= cost * clean[best]:
             break
         chosen.add(best)
         for i in holders[best]:
-            for x in left.pop(i, ()):
+            for x, n in left.pop(i, {}).items():
                 if x in gain:
-                    gain[x] -= 1
+                    gain[x] -= n
         gain.pop(best)
     return chosen
 
@@ -110,7 +119,7 @@ class Chain:
     emission: np.ndarray
     bias: float
     move: np.ndarray
-    layer: np.ndarray  # of the document score: bias, top marginal, sum of marginals
+    layer: np.ndarray  # of the document score: bias, two highest marginals, sum of marginals
 
     def potentials(self, features: np.ndarray) -> np.ndarray:
         return np.exp(np.clip(self.emission[_slots(features)].sum(axis=1) + self.bias, -30, 30))
@@ -218,15 +227,20 @@ def _fit_chain(slots: np.ndarray, labels: np.ndarray, first: np.ndarray, rounds:
 
 
 def _summary(p: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Per text: 1, log-odds of the highest marginal, logarithm of the marginals' sum; texts without tokens have none."""
+    """Per text: 1, log-odds of the two highest marginals, logarithm of the marginals' sum; texts without tokens have none."""
     n = first.size - 1
-    top, total = np.zeros(n), np.zeros(n)
+    top, next_, total = np.zeros(n), np.zeros(n), np.zeros(n)
     some = np.flatnonzero(np.diff(first))
     if some.size:
         top[some] = np.maximum.reduceat(p, first[some])
         total[some] = np.add.reduceat(p, first[some])
-    top = np.clip(top, 1e-6, 1 - 1e-6)
-    return np.stack([np.ones(n), np.log(top / (1 - top)), np.log1p(total)], axis=1)
+        owner = np.repeat(np.arange(n), np.diff(first))
+        highest = np.flatnonzero(p == top[owner])
+        rest = p.copy()
+        rest[highest[np.unique(owner[highest], return_index=True)[1]]] = 0
+        next_[some] = np.maximum.reduceat(rest, first[some])
+    odds = [np.log(x / (1 - x)) for x in (np.clip(top, 1e-6, 1 - 1e-6), np.clip(next_, 1e-6, 1 - 1e-6))]
+    return np.stack([np.ones(n), *odds, np.log1p(total)], axis=1)
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
@@ -254,7 +268,7 @@ def fit_chain(texts: list[bytes], toxic: np.ndarray) -> Chain | None:
     if not labels.any():
         return None
     weight, bias, move = _fit_chain(_slots(features), labels, first)
-    chain = Chain(weight.astype(np.float32), bias, move, np.zeros(3))
+    chain = Chain(weight.astype(np.float32), bias, move, np.zeros(4))
     chain.layer = _logistic(_summary(marginals(chain.potentials(features), first, move), first), toxic.astype(float))
     return chain
 
