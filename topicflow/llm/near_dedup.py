@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from topicflow.llm import bloom, words
+from topicflow.llm.batches import small_batches
 from topicflow.llm.components import components
 from topicflow.scratch import Scratch
 
@@ -220,7 +221,8 @@ def _links(pairs: DataFrame, docs: DataFrame, size: int, percent: int, scratch:
     left = texts.select(F.col("id").alias("a"), F.col("text").alias("ta"))
     right = texts.select(F.col("id").alias("b"), F.col("text").alias("tb"))
     both = pairs.select("a", "b").join(right, "b").join(left, "a").select("a", "b", "ta", "tb")
-    links = scratch.save(both.mapInArrow(lambda it: _confirm(it, size, percent), "a long, b long"), f"{name}-links")
+    with small_batches(docs.sparkSession, 300):
+        links = scratch.save(both.mapInArrow(lambda it: _confirm(it, size, percent), "a long, b long"), f"{name}-links")
     scratch.forget(texts)
     return links
 
@@ -241,12 +243,11 @@ def near_duplicates(
     threshold = percent / 100
     least = _least_agreement(threshold)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    signed = scratch.save(
-        texts.mapInArrow(
-            lambda it: _sign(it, shingle), "id long, n_shingles long, e1 long, e2 long, sig binary, keys array<long>"
-        ),
-        "signed",
+    signed = texts.mapInArrow(
+        lambda it: _sign(it, shingle), "id long, n_shingles long, e1 long, e2 long, sig binary, keys array<long>"
     )
+    with small_batches(spark):
+        signed = scratch.save(signed, "signed")
     known = signed.filter("id is not null and n_shingles > 0")
     classes = known.groupBy("e1", "e2", "n_shingles").agg(F.min("id").alias("rep"))
     reps = known.join(classes.select(F.col("rep").alias("id")), "id", "left_semi")
@@ -279,14 +280,14 @@ def near_duplicates(
         deeper = deeper.join(counts, "k").withColumn("k", F.when(F.col("now") > BLOCK, deep).otherwise(F.col("k"))).drop("now")
     counts = deeper.groupBy("k").count().select("k", F.expr(f"(count + {BLOCK - 1}) div {BLOCK}").alias("blocks"))
     blocked = deeper.join(counts, "k").select("k", F.expr("pmod(xxhash64(id), blocks)").alias("block"), "id", "tree", "sig")
-    near = scratch.save(
-        blocked.groupBy("k", "block").applyInArrow(_neighbours(least), "a long, b long, share double").distinct(), "near"
-    )
+    near = blocked.groupBy("k", "block").applyInArrow(_neighbours(least), "a long, b long, share double")
 
+    # each document's two best partners first: a few links hold a group together
     first = W.partitionBy("b").orderBy(F.desc("share"), "a")
-    ranked = scratch.save(small.withColumn("nth", F.row_number().over(first)), "ranked")
+    listed = small.union(near).groupBy("a", "b").agg(F.max("share").alias("share"))
+    ranked = scratch.save(listed.withColumn("nth", F.row_number().over(first)), "ranked")
     scratch.forget(small)
-    start = ranked.filter("nth <= 2").select("a", "b").union(near.select("a", "b")).distinct()
+    start = ranked.filter("nth <= 2").select("a", "b")
     links1 = _links(scratch.save(start, "start"), texts, shingle, percent, scratch, "first")
     comps = components(links1, scratch)
 
@@ -317,8 +318,8 @@ def near_duplicates(
         signed.select("id", "n_shingles", "e1", "e2")
         .join(classes, ["e1", "e2", "n_shingles"], "left")
         .join(final.select(F.col("node").alias("rep"), "component"), "rep", "left")
-        .select("id", "n_shingles", F.coalesce("component", "rep", "id").alias("component_id"))
+        .select("id", "n_shingles", F.when(F.col("id").isNotNull(), F.coalesce("component", "rep", "id")).alias("component_id"))
     )
     out = scratch.save(result.withColumn("kept", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True))), "result")
-    scratch.forget(signed, shared, large, near, ranked, members)
+    scratch.forget(signed, shared, large, ranked, members)
     return out.withColumnRenamed("id", id_col)

@@ -14,8 +14,10 @@ histogram only.
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from topicflow.llm.batches import small_batches
 from topicflow.scratch import Scratch
 
 #: Different words whose ids a Python worker remembers.
@@ -69,84 +72,82 @@ class Capacity:
     #: sum of squared piece lengths
     attention: int = 4096 * 4096
 
-    def needs(self, length: int) -> np.ndarray:
-        return np.array([length / self.tokens, 1 / self.documents, length * length / self.attention])
+    def needs(self, length: int) -> tuple[float, float, float]:
+        return length / self.tokens, 1 / self.documents, length * length / self.attention
 
 
-def plan(counts: dict[int, int], capacity: Capacity, rule: str = "dot", weights: tuple[float, ...] = (1.0, 0.05, 0.05)) -> list[tuple[int, int, int, int, int]]:
+def plan(
+    counts: dict[int, int],
+    capacity: Capacity,
+    rule: str = "dot",
+    weights: tuple[float, ...] = (1.0, 0.05, 0.05),
+    candidates: int = 16,
+) -> list[tuple[int, int, int, int, int]]:
     """``(length, first rank, how many, first sequence, offset)`` for every length and range of its pieces.
 
     Longer pieces go first.  Open sequences in one state (tokens, documents and attention used) are ranges of numbers.
+    Of the states that a piece fits under every capacity, the ``candidates`` fullest in tokens are compared by the rule.
     A length beyond any capacity raises ``ValueError``.
     """
-    weight = np.array(weights)
-    used = np.zeros((0, 3), np.int64)  # of the open states
-    ranges: list[list[tuple[int, int]]] = []
-    index: dict[tuple[int, int, int], int] = {}
-    limit = np.array([capacity.tokens, capacity.documents, capacity.attention], np.int64)
-    filled = 0
+    limits = (capacity.tokens, capacity.documents, capacity.attention)
+    opened: dict[int, dict[tuple[int, int], list[tuple[int, int]]]] = {}  # tokens -> (documents, attention) -> ranges
+    levels: list[int] = []  # the tokens in use, sorted
     out, next_sequence = [], 0
 
-    def put(state: tuple[int, int, int], span: tuple[int, int]) -> None:
-        nonlocal used, filled
-        if state[0] >= capacity.tokens or state[1] >= capacity.documents:
+    def put(tokens: int, documents: int, attention: int, span: tuple[int, int]) -> None:
+        if tokens >= limits[0] or documents >= limits[1]:
             return  # nothing fits any more
-        if state not in index:
-            if filled == len(used):
-                used = np.concatenate([used, np.zeros((max(64, filled), 3), np.int64)])
-            used[filled] = state
-            ranges.append([])
-            index[state] = filled
-            filled += 1
-        ranges[index[state]].append(span)
-
-    def drop(k: int) -> None:
-        """The last state takes the place of one that has no sequence left."""
-        nonlocal filled
-        filled -= 1
-        del index[tuple(used[k].tolist())]
-        if k != filled:
-            used[k] = used[filled]
-            ranges[k] = ranges[filled]
-            index[tuple(used[k].tolist())] = k
-        ranges.pop()
+        if tokens not in opened:
+            opened[tokens] = {}
+            insort(levels, tokens)
+        opened[tokens].setdefault((documents, attention), []).append(span)
+
+    def fitting(length: int):
+        """States with room for the piece, the fullest in tokens first."""
+        for k in range(bisect_right(levels, limits[0] - length) - 1, -1, -1):
+            for documents, attention in opened[levels[k]]:
+                if documents < limits[1] and attention + length * length <= limits[2]:
+                    yield levels[k], documents, attention
 
     for length in sorted(counts, reverse=True):
-        step = np.array([length, 1, length * length], np.int64)
-        if (step > limit).any():
+        square = length * length
+        if length > limits[0] or limits[1] < 1 or square > limits[2]:
             raise ValueError(f"a piece of {length} tokens passes a capacity")
         need = capacity.needs(length)
+
+        def score(state: tuple[int, int, int]) -> float:
+            left = [1 - (used + step) / limit for used, step, limit in zip(state, (length, 1, square), limits)]
+            if rule == "dot":
+                return sum(w * n * x for w, n, x in zip(weights, need, left))
+            return sum(w * x * x for w, x in zip(weights, left))
+
         rank, left = 0, counts[length]
         while left:
-            best = -1
-            if filled:
-                free = limit - used[:filled]
-                fits = np.flatnonzero((free >= step).all(axis=1))
-                if fits.size:
-                    after = (free[fits] - step) / limit
-                    score = after @ (weight * need) if rule == "dot" else (weight * after**2).sum(axis=1)
-                    best = int(fits[score.argmin()])
-            if best < 0:
+            best = min(islice(fitting(length), candidates), key=score, default=None)
+            if best is None:
                 # new sequences hold as many of this length as fit
-                most = int((limit // np.maximum(step, 1)).min())
-                per = min(most, left)
+                per = min(limits[0] // length, limits[1], limits[2] // square, left)
                 n = left // per
                 for k in range(per):
                     out.append((length, rank, n, next_sequence, k * length))
                     rank += n
-                put(tuple((step * per).tolist()), (next_sequence, n))
+                put(per * length, per, per * square, (next_sequence, n))
                 next_sequence += n
                 left -= n * per
                 continue
-            state = tuple(used[best].tolist())
-            first, n = ranges[best].pop()
+            tokens, documents, attention = best
+            spans = opened[tokens][documents, attention]
+            first, n = spans.pop()
             take = min(n, left)
             if take < n:
-                ranges[best].append((first + take, n - take))
-            elif not ranges[best]:
-                drop(best)
-            out.append((length, rank, take, first, state[0]))
-            put(tuple((np.array(state) + step).tolist()), (first, take))
+                spans.append((first + take, n - take))
+            elif not spans:
+                del opened[tokens][documents, attention]
+                if not opened[tokens]:
+                    del opened[tokens]
+                    levels.pop(bisect_left(levels, tokens))
+            out.append((length, rank, take, first, tokens))
+            put(tokens + length, documents + 1, attention + square, (first, take))
             rank += take
             left -= take
     return out
@@ -201,8 +202,10 @@ def pack(
     spark = docs.sparkSession
     scratch = Scratch(spark, "packing")
     pieces = tokenised_pieces(docs, tokenizer, capacity.tokens, end_id, with_ids, id_col, text_col)
-    # equal rows (repeated ids) must differ, or their ranks could not be told apart
-    pieces = scratch.save(pieces.withColumn("salt", F.expr(f"cast(pmod(xxhash64(id, piece, monotonically_increasing_id()), {SALTS}) as int)")), "pieces")
+    # a length that very many pieces share is ranked in parts
+    salt = F.expr(f"cast(pmod(xxhash64(id, piece), {SALTS}) as int)")
+    with small_batches(spark):
+        pieces = scratch.save(pieces.withColumn("salt", salt), "pieces")
     salted = pieces.groupBy("length", "salt").count()
     base = scratch.save(
         salted.withColumn("base", F.sum("count").over(W.partitionBy("length").orderBy("salt").rowsBetween(W.unboundedPreceding, -1))), "counts"

@@ -112,6 +112,51 @@ ORACLE = {
             sha256(coalesce(string_agg(line, chr(10) ORDER BY line.pos) FILTER (gone.pos IS NULL), '')) AS kept_sha256
         FROM line LEFT JOIN gone ON gone.doc_id = line.doc_id AND gone.pos = line.pos
         GROUP BY line.doc_id""",
+    "op3_minhash_near_dedup": """
+        WITH RECURSIVE text AS (
+            SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+        split AS (SELECT doc_id, list_filter(string_split_regex(t, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws FROM text),
+        word AS (SELECT doc_id, unnest(range(len(ws))) AS pos, unnest(ws) AS word, len(ws) AS n FROM split),
+        gram AS (
+            SELECT doc_id, pos, n, count(*) OVER f AS m, string_agg(word, ' ') OVER f AS g
+            FROM word WINDOW f AS (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 3 FOLLOWING)),
+        item AS (SELECT DISTINCT doc_id, g FROM gram WHERE m = 4 OR (n < 4 AND pos = 0)),
+        size AS (SELECT doc_id, count(*) AS n FROM item GROUP BY doc_id),
+        common AS (
+            SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c
+            FROM item x JOIN item y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY x.doc_id, y.doc_id),
+        link AS (
+            SELECT a, b FROM common JOIN size x ON x.doc_id = a JOIN size y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+        reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT reach.a, link.b FROM reach JOIN link ON link.a = reach.b)
+        SELECT a AS doc_id, coalesce(max(size.n), 0) AS n_shingles, min(b) AS component_id, a = min(b) AS kept
+        FROM reach LEFT JOIN size ON size.doc_id = a GROUP BY a""",
+    "op4_substring_dedup": """
+        WITH split AS (
+            SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+        word AS (SELECT doc_id, unnest(range(len(ws))) AS pos, unnest(ws) AS word FROM split),
+        win AS (
+            SELECT doc_id, pos, word, count(*) OVER f AS n, md5(string_agg(word, ' ') OVER f) AS k
+            FROM word WINDOW f AS (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 49 FOLLOWING)),
+        seen AS (SELECT doc_id, pos, word, n = 50 AND doc_id > min(doc_id) FILTER (n = 50) OVER (PARTITION BY k) AS hit FROM win),
+        judged AS (
+            SELECT doc_id, pos, word, coalesce(bool_or(hit) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 49 PRECEDING AND CURRENT ROW), false) AS gone
+            FROM seen)
+        SELECT d.doc_id, count(word) AS n_words, count(word) FILTER (gone) AS n_removed,
+            sha256(coalesce(string_agg(word, ' ' ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
+        FROM documents d LEFT JOIN judged ON judged.doc_id = d.doc_id GROUP BY d.doc_id""",
+    "op9_suffix_array_dedup": """
+        WITH code AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+        byte AS (SELECT doc_id, h, unnest(range(len(h) // 2)) AS pos FROM code),
+        win AS (
+            SELECT doc_id, pos, substring(h, 2 * pos + 1, 2) AS b,
+                CASE WHEN len(h) // 2 - pos >= 400 THEN md5(substring(h, 2 * pos + 1, 800)) END AS k FROM byte),
+        seen AS (SELECT doc_id, pos, b, k IS NOT NULL AND count(*) OVER (PARTITION BY k) > 1 AS hit FROM win),
+        judged AS (
+            SELECT doc_id, pos, b, bool_or(hit) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 399 PRECEDING AND CURRENT ROW) AS gone FROM seen),
+        runs AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY pos), false) AS opens FROM judged)
+        SELECT d.doc_id, count(b) AS n_bytes, count(b) FILTER (gone) AS n_removed, count(b) FILTER (opens) AS n_spans,
+            sha256(unhex(coalesce(string_agg(b, '' ORDER BY pos) FILTER (NOT gone), ''))) AS kept_sha256
+        FROM documents d LEFT JOIN runs ON runs.doc_id = d.doc_id GROUP BY d.doc_id""",
     "op6_exact_dedup": """
         WITH n AS (
             SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS text_sha256

@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from topicflow.llm import bloom, words
+from topicflow.llm.batches import small_batches
 from topicflow.llm.spans import anchors, merged
 from topicflow.scratch import Scratch
 
@@ -154,7 +155,8 @@ def _split(docs: DataFrame, id_col: str, text_col: str, window: int, gram: int)
     """Texts ``(id, text, spans)`` that certainly keep all words, and those that may lose some."""
     scratch = Scratch(docs.sparkSession, "substring")
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    spans = repeats(texts.filter("id is not null"), window, gram, scratch)
+    with small_batches(docs.sparkSession):
+        spans = repeats(texts.filter("id is not null"), window, gram, scratch)
     bits = bloom.filter_bits(spans.count())
     pages = scratch.save(bloom.build(spans.select(F.xxhash64("id").alias("k")), "k", bits), "holders")
     looked = bloom.probe(texts, F.xxhash64("id"), pages, bits, "hit")
