@@ -11,20 +11,34 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, MapType, StringType, StructType
 
 
-# Rows up to which a parameter-sized table (slices x topics x top words) is broadcast.
+# Rows and estimated bytes up to which a parameter-sized table (slices x topics x top words) is broadcast.
 BROADCAST_ROWS = 1_000_000
+BROADCAST_BYTES = 64 << 20
 
 
-def broadcast_checked(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast ``df`` if its counted size is within the bound; else leave it to a shuffle join.
+def _estimated_bytes(df: DataFrame) -> Column:
+    """Of a row: eight bytes a plain column, and the written-out length of nested and text columns."""
+    size = F.lit(8 * len(df.columns))
+    for field in df.schema:
+        if isinstance(field.dataType, (ArrayType, MapType, StructType)):
+            size = size + F.coalesce(F.octet_length(F.to_json(F.struct(field.name))), F.lit(0))
+        elif isinstance(field.dataType, (StringType, BinaryType)):
+            size = size + F.coalesce(F.octet_length(field.name), F.lit(0))
+    return size
 
-    Call it on saved tables, where the count is read from file footers.
+
+def broadcast_checked(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Broadcast ``df`` if its counted rows and bytes are within the bounds; else leave it to a shuffle join.
+
+    Call it on saved tables, so that counting is one cheap scan.
     """
-    return F.broadcast(df) if df.count() <= max_rows else df
+    found = df.agg(F.count(F.lit(1)).alias("rows"), F.sum(_estimated_bytes(df)).alias("bytes")).first()
+    return F.broadcast(df) if found["rows"] <= max_rows and (found["bytes"] or 0) <= max_bytes else df
 
 
 def _base_dir(spark: SparkSession) -> str:
