@@ -42,7 +42,7 @@ def test_copies_shards_and_useless_vectors(spark):
     rng = np.random.default_rng(2)
     rows = [(i, rng.normal(size=6).tolist()) for i in range(300)]
     rows += [(1000 + i, rows[7][1]) for i in range(500)]
-    bad = [(2000, None), (2001, [0.0] * 6), (2002, [1.0, None, 0, 0, 0, 0]), (2003, [float("nan")] * 6), (2004, [float("inf")] + [0.0] * 5), (2005, []), (None, [1.0] * 6), (2006, [1.0, 2.0])]
+    bad = [(2000, None), (2001, [0.0] * 6), (2002, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (2003, [float("nan")] * 6), (2004, [float("inf")] + [0.0] * 5), (2005, []), (None, [1.0] * 6), (2006, [1.0, 2.0])]
     df = spark.createDataFrame(rows + bad, "vec_id long, embedding array<double>").selectExpr("*", "1 as node", "2 as shard")
     out = nearest(df, df.filter("vec_id % 50 = 7 or vec_id >= 2000"), k=5, shard=64).collect()
     got = {}

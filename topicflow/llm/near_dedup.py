@@ -13,8 +13,9 @@ depth 6 with probability (1 - 0.8^6)^48 < 5e-7.
   0.8), the rest is confirmed on the full sets.  Best pairs come first, and their
   links give components.
 * What is left are pairs between different components.  Small regions have listed them; in
-  larger ones every document outside the region's main component meets all members, in blocks,
-  so a hot region is spread over many tasks and no pair inside a component is made.
+  larger ones every document outside the region's main component meets all members, in blocks with their
+  texts, so a hot region is spread over many tasks, no pair inside a component is made, and a block gives back
+  links between components only.
 
 The forest finds candidates; only links confirmed on full sets count.
 """
@@ -37,7 +38,7 @@ from topicflow.scratch import Scratch
 TREES, DEPTH = 48, 6
 SIGNATURE = TREES * DEPTH
 #: Members up to which a region lists all its pairs, and of a block of a larger one.
-SMALL, BLOCK = 12, 2048
+SMALL, BLOCK = 12, 1024
 #: Standard deviations of the estimate below the threshold that still count as candidates.
 SIGMAS = 4.7
 
@@ -161,25 +162,46 @@ def _neighbours(least: float, near: int = 8, best: int = 2):
     return solve
 
 
-def _across(least: float):
-    """Pairs of a block's minor members with members of other components, in the first tree that holds both."""
+def _across(least: float, size: int, percent: int):
+    """Confirmed links of a block's minor members with members of other components, one for each two components.
+
+    A pair is judged in the first tree that holds both, the most similar first, and only while nothing found in the
+    block connects the two.
+    """
 
     def solve(table: pa.Table) -> pa.Table:
         ids, sig, comp, tree = table["id"].to_numpy(), _sigs(table), table["comp"].to_numpy(), table["tree"][0].as_py()
+        text = table["text"].combine_chunks().cast(pa.large_string()).cast(pa.large_binary())
         minor = np.array(table["minor"].to_pylist(), bool)
         rest = np.flatnonzero(~minor)
-        a, b, share = [], [], []
         trees = sig.reshape(-1, TREES, DEPTH)
+        root: dict[int, int] = {}
+        sets: dict[int, set] = {}
+
+        def find(x: int) -> int:
+            while root.setdefault(x, x) != x:
+                x = root[x] = root[root[x]]
+            return x
+
+        def known(i: int) -> set:
+            if i not in sets:
+                sets[i] = _set(text[i].as_py(), size)
+            return sets[i]
+
+        a, b = [], []
         for i in np.flatnonzero(minor):
             got = _agreement(sig[i], sig[rest])
-            hit = rest[(got >= least) & (comp[rest] != comp[i])]
+            near = (got >= least) & (comp[rest] != comp[i])
+            hit = rest[near][np.argsort(-got[near], kind="stable")]
             if hit.size:
-                shared = (trees[hit] == trees[i]).all(axis=2)
-                hit = hit[shared.argmax(axis=1) == tree]
-                a += np.minimum(ids[hit], ids[i]).tolist()
-                b += np.maximum(ids[hit], ids[i]).tolist()
-                share += _agreement(sig[i], sig[hit]).tolist()
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "share": pa.array(share, pa.float64())})
+                hit = hit[(trees[hit] == trees[i]).all(axis=2).argmax(axis=1) == tree]
+            for j in hit.tolist():
+                x, y = find(int(comp[i])), find(int(comp[j]))
+                if x != y and _similar(known(i), known(j), percent):
+                    root[x] = y
+                    a.append(min(ids[i], ids[j]))
+                    b.append(max(ids[i], ids[j]))
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return solve
 
@@ -189,6 +211,11 @@ def _set(text: bytes, size: int) -> set:
     return set(zip(*(w[k:] for k in range(size)))) if len(w) >= size else {tuple(w)} if w else set()
 
 
+def _similar(one: set, two: set, percent: int) -> bool:
+    common = len(one & two)
+    return 100 * common >= percent * (len(one) + len(two) - common)
+
+
 def _confirm(batches: Iterator[pa.RecordBatch], size: int, percent: int) -> Iterator[pa.RecordBatch]:
     last: dict = {}
 
@@ -205,19 +232,21 @@ def _confirm(batches: Iterator[pa.RecordBatch], size: int, percent: int) -> Iter
         ta, tb = (batch.column(c).cast(pa.binary()) for c in ("ta", "tb"))
         keep = []
         for i, (x, y) in enumerate(zip(a, b)):
-            one, two = known(x, ta[i]), known(y, tb[i])
-            common = len(one & two)
-            keep.append(100 * common >= percent * (len(one) + len(two) - common))
+            keep.append(_similar(known(x, ta[i]), known(y, tb[i]), percent))
         keep = pa.array(keep, pa.bool_())
         yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], ["a", "b"])
 
 
+def _texts(ids: DataFrame, docs: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """Rows of ``docs(id, text)`` that may be among ``ids(id)``; all others stay where they are."""
+    bits = bloom.filter_bits(ids.count())
+    pages = bloom.build(ids.select(F.xxhash64("id").alias("k")), "k", bits)
+    return scratch.save(bloom.probe(docs, F.xxhash64("id"), pages, bits, "hit").filter("hit").select("id", "text"), f"{name}-texts")
+
+
 def _links(pairs: DataFrame, docs: DataFrame, size: int, percent: int, scratch: Scratch, name: str) -> DataFrame:
     """The pairs whose full sets are similar enough.  Only texts in a pair move."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    bits = bloom.filter_bits(2 * pairs.count())
-    pages = bloom.build(wanted.select(F.xxhash64("id").alias("k")), "k", bits)
-    texts = scratch.save(bloom.probe(docs, F.xxhash64("id"), pages, bits, "hit").filter("hit").select("id", "text"), f"{name}-texts")
+    texts = _texts(pairs.select("a").union(pairs.select("b")).toDF("id").distinct(), docs, scratch, name)
     left = texts.select(F.col("id").alias("a"), F.col("text").alias("ta"))
     right = texts.select(F.col("id").alias("b"), F.col("text").alias("tb"))
     both = pairs.select("a", "b").join(right, "b").join(left, "a").select("a", "b", "ta", "tb")
@@ -303,16 +332,18 @@ def near_duplicates(
         .filter("top < n")
         .select("key", "main", F.expr(f"(n + {BLOCK - 1}) div {BLOCK}").alias("nj"), F.expr(f"(n - top + {BLOCK - 1}) div {BLOCK}").alias("ni"))
     )
-    mixed = members.join(main, "key").withColumn("salt", F.xxhash64("id"))
-    columns = ["key", "i", "j", "id", "tree", "sig", "comp", "minor"]
+    mixed = scratch.save(members.join(main, "key").withColumn("salt", F.xxhash64("id")), "mixed")
+    mixed_texts = _texts(mixed.select("id").distinct(), texts, scratch, "mixed")
+    mixed = mixed.join(mixed_texts, "id")
+    columns = ["key", "i", "j", "id", "tree", "sig", "comp", "minor", "text"]
     outside = mixed.filter("comp <> main").withColumn("i", F.expr("pmod(salt, ni)")).withColumn("minor", F.lit(True))
     inside = mixed.withColumn("j", F.expr("pmod(salt, nj)")).withColumn("minor", F.lit(False))
     met = outside.withColumn("j", F.explode(F.expr("sequence(0, nj - 1)"))).select(columns).union(
         inside.withColumn("i", F.explode(F.expr("sequence(0, ni - 1)"))).select(columns)
     )
-    across = met.groupBy("key", "i", "j").applyInArrow(_across(least), "a long, b long, share double")
-    links2 = _links(scratch.save(rest.union(across.select("a", "b")).distinct(), "rest"), texts, shingle, percent, scratch, "second")
-    final = components(links1.union(links2), scratch)
+    across = scratch.save(met.groupBy("key", "i", "j").applyInArrow(_across(least, shingle, percent), "a long, b long"), "across")
+    links2 = _links(scratch.save(rest, "rest"), texts, shingle, percent, scratch, "second")
+    final = components(links1.union(links2).union(across), scratch)
 
     result = (
         signed.select("id", "n_shingles", "e1", "e2")
