@@ -13,6 +13,7 @@ histogram only.
 
 from __future__ import annotations
 
+import os
 import zlib
 from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
@@ -29,7 +30,7 @@ from topicflow.llm.batches import small_batches
 from topicflow.scratch import Scratch
 
 #: Different words whose ids a Python worker remembers.
-REMEMBERED = 400_000
+REMEMBERED = 800_000
 SALTS = 64
 _tokenizers: dict = {}
 
@@ -37,6 +38,7 @@ _tokenizers: dict = {}
 def _encoder(path: str):
     """The tokenizer and this worker's ids of words seen so far."""
     if path not in _tokenizers:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the threads
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
@@ -45,24 +47,29 @@ def _encoder(path: str):
     return _tokenizers[path]
 
 
+def _remember(tokenizer, known: dict[bytes, bytes], new: list[bytes]) -> None:
+    """Encode new words as one text and tell their ids apart by where they lie in it."""
+    split = [w.decode() for w in new]
+    starts = np.cumsum([0] + [len(w) + 1 for w in split[:-1]])
+    code = tokenizer.encode(" ".join(split), add_special_tokens=False)
+    ids = np.array(code.ids, "<u4")
+    at = np.fromiter((o[0] for o in code.offsets), np.int64, ids.size)
+    border = np.searchsorted(at, starts)
+    for word, part in zip(new, np.split(ids, border[1:])):
+        known[word] = part.tobytes()
+
+
 def encode_words(path: str, texts: list[bytes]) -> list[np.ndarray]:
     """Ids of each text.  The tokenizer drops white space and never joins across it, so words are encoded once each."""
     tokenizer, known = _encoder(path)
-    out = []
-    for text in texts:
-        split = text.split()
-        try:
-            found = b"".join(map(known.__getitem__, split))
-        except KeyError:
-            new = [w for w in dict.fromkeys(split) if w not in known]
-            if len(known) + len(new) > REMEMBERED:
-                known.clear()
-                new = list(dict.fromkeys(split))
-            for word, code in zip(new, tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)):
-                known[word] = np.array(code.ids, "<u4").tobytes()
-            found = b"".join(map(known.__getitem__, split))
-        out.append(np.frombuffer(found, "<u4"))
-    return out
+    split = [text.split() for text in texts]
+    new = set().union(*split).difference(known) if split else set()
+    if len(known) + len(new) > REMEMBERED:
+        known.clear()
+        new = set().union(*split)
+    if new:
+        _remember(tokenizer, known, sorted(new))
+    return [np.frombuffer(b"".join(map(known.__getitem__, w)), "<u4") for w in split]
 
 
 @dataclass(frozen=True)
@@ -160,8 +167,9 @@ def tokenised_pieces(docs: DataFrame, tokenizer: str, tokens: int, end_id: int,
         end = np.array([end_id], "<u4")
         for batch in batches:
             rows = [[] for _ in range(5)]
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary())):
-                ids = np.concatenate([encode_words(tokenizer, [text.as_py() or b""])[0], end])
+            texts = [text or b"" for text in batch.column(1).cast(pa.binary()).to_pylist()]
+            for doc, found in zip(batch.column(0).to_pylist(), encode_words(tokenizer, texts)):
+                ids = np.concatenate([found, end])
                 for piece, start in enumerate(range(0, ids.size, tokens)):
                     part = ids[start : start + tokens]
                     for column, value in zip(rows, (doc, piece, start, part.size, zlib.crc32(part.tobytes()))):
