@@ -18,8 +18,8 @@ from topicflow.llm.substring_dedup import shortened
 from topicflow.scratch import Scratch
 from topicflow.session import ship_package
 
-#: Lead in weighted loss under which the language is ambiguous and the document goes.
-AMBIGUOUS = 0.02
+#: Lead in weighted loss under which the language is ambiguous and the document goes; small, so that short clean texts stay.
+AMBIGUOUS = 0.005
 
 
 def _with_text(docs: DataFrame, columns: list[str]) -> DataFrame:
