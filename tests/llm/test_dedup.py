@@ -5,6 +5,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from checks.compare import compare, connect
@@ -131,6 +132,23 @@ def test_near_against_brute_force(spark, monkeypatch, block):
     assert all(r.kept == (r.doc_id == r.component_id) for r in out)
 
 
+@pytest.mark.parametrize("tree, found", [(2, False), (5, True), (7, False)])
+def test_near_pairs_are_judged_in_their_first_common_region(tree, found):
+    """Bytes agree in trees 2, 5 and 7, but the keys that make the regions in 5 and 7 only."""
+    trees = near_dedup.TREES
+    sig = np.zeros((2, trees, near_dedup.DEPTH), np.uint8)
+    keys = np.arange(2 * trees).reshape(2, trees)
+    sig[1, [k for k in range(trees) if k not in (2, 5, 7)], 0] = 1
+    keys[1, [5, 7]] = keys[0, [5, 7]]
+    text = "one two three four five six"
+    block = pa.table({
+        "id": [10, 20], "tree": [tree] * 2, "sig": [x.tobytes() for x in sig], "keys": pa.array(keys.tolist(), pa.list_(pa.int64())),
+        "comp": [10, 20], "minor": [True, False], "text": [text, text],
+    })
+    links = near_dedup._across(near_dedup._least_agreement(0.8), 4, 80)(block).to_pylist()
+    assert links == ([{"a": 10, "b": 20}] if found else [])
+
+
 def test_near_edges(spark):
     assert near_duplicates(table(spark, [])).count() == 0
     out = near_duplicates(table(spark, [(None, "a b c d e"), (1, "a b c d e"), (2, None)])).collect()

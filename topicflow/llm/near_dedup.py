@@ -165,8 +165,9 @@ def _neighbours(least: float, near: int = 8, best: int = 2):
 def _across(least: float, size: int, percent: int):
     """Confirmed links of a block's minor members with members of other components, one for each two components.
 
-    A pair is judged in the first tree that holds both, the most similar first, and only while nothing found in the
-    block connects the two.
+    A pair is judged in the first tree whose region holds both, by the keys that make the regions: the signature's bytes
+    may agree where the minima do not.  The most similar come first, and only while nothing found in the block
+    connects the two.
     """
 
     def solve(table: pa.Table) -> pa.Table:
@@ -174,7 +175,7 @@ def _across(least: float, size: int, percent: int):
         text = table["text"].combine_chunks().cast(pa.large_string()).cast(pa.large_binary())
         minor = np.array(table["minor"].to_pylist(), bool)
         rest = np.flatnonzero(~minor)
-        trees = sig.reshape(-1, TREES, DEPTH)
+        keys = table["keys"].combine_chunks().flatten().to_numpy().reshape(-1, TREES)
         root: dict[int, int] = {}
         sets: dict[int, set] = {}
 
@@ -194,7 +195,7 @@ def _across(least: float, size: int, percent: int):
             near = (got >= least) & (comp[rest] != comp[i])
             hit = rest[near][np.argsort(-got[near], kind="stable")]
             if hit.size:
-                hit = hit[(trees[hit] == trees[i]).all(axis=2).argmax(axis=1) == tree]
+                hit = hit[(keys[hit] == keys[i]).argmax(axis=1) == tree]
             for j in hit.tolist():
                 x, y = find(int(comp[i])), find(int(comp[j]))
                 if x != y and _similar(known(i), known(j), percent):
@@ -238,10 +239,10 @@ def _confirm(batches: Iterator[pa.RecordBatch], size: int, percent: int) -> Iter
 
 
 def _texts(ids: DataFrame, docs: DataFrame, scratch: Scratch, name: str) -> DataFrame:
-    """Rows of ``docs(id, text)`` that may be among ``ids(id)``; all others stay where they are."""
+    """Rows of ``docs(id, ...)`` that may be among ``ids(id)``; all others stay where they are."""
     bits = bloom.filter_bits(ids.count())
     pages = bloom.build(ids.select(F.xxhash64("id").alias("k")), "k", bits)
-    return scratch.save(bloom.probe(docs, F.xxhash64("id"), pages, bits, "hit").filter("hit").select("id", "text"), f"{name}-texts")
+    return scratch.save(bloom.probe(docs, F.xxhash64("id"), pages, bits, "hit").filter("hit").select(docs.columns), f"{name}-texts")
 
 
 def _links(pairs: DataFrame, docs: DataFrame, size: int, percent: int, scratch: Scratch, name: str) -> DataFrame:
@@ -333,9 +334,10 @@ def near_duplicates(
         .select("key", "main", F.expr(f"(n + {BLOCK - 1}) div {BLOCK}").alias("nj"), F.expr(f"(n - top + {BLOCK - 1}) div {BLOCK}").alias("ni"))
     )
     mixed = scratch.save(members.join(main, "key").withColumn("salt", F.xxhash64("id")), "mixed")
-    mixed_texts = _texts(mixed.select("id").distinct(), texts, scratch, "mixed")
-    mixed = mixed.join(mixed_texts, "id")
-    columns = ["key", "i", "j", "id", "tree", "sig", "comp", "minor", "text"]
+    mixed_ids = mixed.select("id").distinct()
+    mixed_keys = _texts(mixed_ids, known.select("id", "keys"), scratch, "mixed-keys")
+    mixed = mixed.join(_texts(mixed_ids, texts, scratch, "mixed"), "id").join(mixed_keys, "id")
+    columns = ["key", "i", "j", "id", "tree", "sig", "keys", "comp", "minor", "text"]
     outside = mixed.filter("comp <> main").withColumn("i", F.expr("pmod(salt, ni)")).withColumn("minor", F.lit(True))
     inside = mixed.withColumn("j", F.expr("pmod(salt, nj)")).withColumn("minor", F.lit(False))
     met = outside.withColumn("j", F.explode(F.expr("sequence(0, nj - 1)"))).select(columns).union(
