@@ -146,6 +146,21 @@ def test_packing(spark):
     assert pack(df.limit(0), WORDS).count() == 0
 
 
+def test_packing_keeps_special_tokens(spark):
+    """Special tokens written out in a text, also inside and next to words, against the tokenizer as it is loaded."""
+    from tokenizers import Tokenizer
+
+    end, start = "<|endoftext|>", "<|startoftext|>"
+    odd = [f"one {end} two", f"one{end}two", f"{end}{start}", f"a {start}\n\n{end}! é{end}é", end.upper(), "<|endoftext |>", f"<{end}>", f"x {end} " * 3000]
+    df = spark.createDataFrame(list(enumerate(odd)), "doc_id long, text string")
+    plain = Tokenizer.from_file(WORDS)
+    want = []
+    for i, t in enumerate(odd):
+        ids = plain.encode(t, add_special_tokens=False).ids + [1]
+        want += [(i, k, s, ids[s : s + 4096]) for k, s in enumerate(range(0, len(ids), 4096))]
+    assert sorted((r.doc_id, r.piece, r.start, r.ids) for r in pack(df, WORDS, with_ids=True).collect()) == want
+
+
 def test_packing_query_wastes_little(spark):
     out = op5_best_fit_packing(spark, SF).toPandas()
     assert out.sequence_id.nunique() <= -(-out.length.sum() // 4096) + 1

@@ -41,9 +41,7 @@ def _encoder(path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the threads
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True
-        _tokenizers[path] = tokenizer, {}
+        _tokenizers[path] = Tokenizer.from_file(path), {}
     return _tokenizers[path]
 
 
@@ -60,7 +58,11 @@ def _remember(tokenizer, known: dict[bytes, bytes], new: list[bytes]) -> None:
 
 
 def encode_words(path: str, texts: list[bytes]) -> list[np.ndarray]:
-    """Ids of each text.  The tokenizer drops white space and never joins across it, so words are encoded once each."""
+    """Ids of each text, as the tokenizer's own call gives them: special tokens written out in a text are special tokens.
+
+    The tokenizer drops white space and never joins across it, and its special tokens hold none, so words are
+    encoded once each.
+    """
     tokenizer, known = _encoder(path)
     split = [text.split() for text in texts]
     new = set().union(*split).difference(known) if split else set()
