@@ -7,6 +7,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from checks.compare import compare, connect
 from topicflow.llm import near_dedup, suffix_dedup
@@ -77,6 +78,11 @@ def test_lines_against_brute_force(spark):
     out = dedup_lines(table(spark, rows).selectExpr("*", "7 as at", "8 as w1", "9 as id"))
     assert out.columns == ["doc_id", "text", "at", "w1", "id", "n_lines", "n_removed"]
     assert {r.doc_id: (r.n_lines, r.n_removed, r.text) for r in out.collect()} == brute_lines(rows)
+    # every name that the operator uses inside may be a column
+    names = ["id", "of", "starts", "hit", "split", "gone", "kept", "l", "h", "z", "w2", "k", "first", "Hit_at", "hit_page", "hit_bitmap"]
+    out = dedup_lines(table(spark, rows).select("*", *[F.lit(i).alias(n) for i, n in enumerate(names)]))
+    assert {r.doc_id: (r.n_lines, r.n_removed, r.text) for r in out.collect()} == brute_lines(rows)
+    assert out.select(names).distinct().collect() == [tuple(range(len(names)))]
     assert dedup_lines(table(spark, [])).count() == 0
     with pytest.raises(ValueError):
         dedup_lines(table(spark, rows).selectExpr("*", "1 as n_lines"))

@@ -34,9 +34,16 @@ def build(keys: DataFrame, key: str, bits: int) -> DataFrame:
     )
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, lengthened until they are no column of ``df`` (upper and lower case count as equal)."""
+    taken = {c.lower() for c in df.columns}
+    longest = max((len(c) for c in taken), default=0)
+    return [n if n.lower() not in taken else n.ljust(longest + 1, "_") for n in names]
+
+
 def probe(df: DataFrame, key: Column, pages: DataFrame, bits: int, out: str) -> DataFrame:
     """``df`` with boolean ``out``: whether the bit of ``key`` is set.  The pages (at most 16 MB) are broadcast."""
-    at, page, bitmap = f"{out}_at", f"{out}_page", f"{out}_bitmap"
+    at, page, bitmap = free_names(df, f"{out}_at", f"{out}_page", f"{out}_bitmap")
     small = F.broadcast(pages.select(F.col("page").alias(page), F.col("bitmap").alias(bitmap)))
     byte = f"cast(conv(hex(substring({bitmap}, cast(({at} % {PAGE}) div 8 as int) + 1, 1)), 16, 10) as int)"
     hit = F.expr(f"getbit({byte}, cast({at} % 8 as int)) = 1")

@@ -58,27 +58,26 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         raise ValueError(f"columns {sorted(clash)} exist; name the counts otherwise")
     scratch = Scratch(docs.sparkSession, "lines")
     later = repeated_windows(docs, id_col, text_col, scratch)
-    cut = scratch.save(later.groupBy("id").agg(F.collect_set("at").alias("__starts")).filter("id is not null"), "cut")
+    known, starts, hit, split, gone, kept = bloom.free_names(docs, "of", "starts", "hit", "split", "gone", "kept")
+    cut = later.filter("id is not null").groupBy(F.col("id").alias(known)).agg(F.collect_set("at").alias(starts))
+    cut = scratch.save(cut, "cut")
     bits = bloom.filter_bits(cut.count())
-    pages = scratch.save(bloom.build(cut.select(F.xxhash64("id").alias("k")), "k", bits), "cut-pages")
-    looked = bloom.probe(docs, F.xxhash64(id_col), pages, bits, "__cut")
+    pages = scratch.save(bloom.build(cut.select(F.xxhash64(known).alias("k")), "k", bits), "cut-pages")
+    looked = bloom.probe(docs, F.xxhash64(id_col), pages, bits, hit)
     lines = F.split(F.coalesce(text_col, F.lit("")), "\n", -1)
-    same = looked.filter("not __cut").select(
+    same = looked.filter(~F.col(hit)).select(
         *docs.columns, F.size(lines).cast("long").alias(n_lines), F.lit(0).cast("long").alias(n_removed)
     )
-    joined = looked.filter("__cut").join(cut, F.col(id_col) == F.col("id"), "left").withColumn("__lines", lines)
-    gone = F.coalesce(
-        F.array_distinct(F.flatten(F.transform("__starts", lambda s: F.sequence(s, s + (WINDOW - 1))))), F.array().cast("array<int>")
+    joined = looked.filter(F.col(hit)).join(cut, F.col(id_col) == F.col(known), "left").withColumn(split, lines)
+    covered = F.array_distinct(F.flatten(F.transform(starts, lambda s: F.sequence(s, s + (WINDOW - 1)))))
+    marked = joined.withColumn(gone, F.coalesce(covered, F.array().cast("array<int>"))).withColumn(
+        kept,
+        F.transform(F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col(gone)), lambda i: F.get(split, i)),
     )
-    # positions to remove as a map, so that every line is looked at once
-    marked = joined.withColumn("__gone", gone).withColumn(
-        "__kept",
-        F.transform(F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), F.col("__gone")), lambda i: F.get("__lines", i)),
-    )
-    text = F.when(F.size("__gone") == 0, F.col(text_col)).otherwise(F.array_join("__kept", "\n"))
+    text = F.when(F.size(gone) == 0, F.col(text_col)).otherwise(F.array_join(kept, "\n"))
     changed = marked.select(
         *(text.alias(c) if c == text_col else F.col(c) for c in docs.columns),
-        F.size("__lines").cast("long").alias(n_lines),
-        F.size("__gone").cast("long").alias(n_removed),
+        F.size(split).cast("long").alias(n_lines),
+        F.size(gone).cast("long").alias(n_removed),
     )
     return same.unionByName(changed)
