@@ -37,7 +37,7 @@ from topicflow.llm.words import pieces
 from topicflow.scratch import Scratch, broadcast_checked
 
 #: Bytes of text whose pointers are sorted together (a longer text is a shard of its own).
-SHARD = 16 << 20
+SHARD = 8 << 20
 #: Depth, in bytes, at which slices of very long words are left to a comparison of the rest.
 DEEP = 128
 #: Sources of a block, on average, and counted cells of a shard of terms.
@@ -119,7 +119,7 @@ def _compare(data, start, end, order, fresh, places, depth) -> None:
 
 
 def count_runs(data: np.ndarray, offsets: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Per (term, group): a word of the term, the group, occurrences, documents; then starts and ends of all words."""
+    """Per (term, group): the term's number, the group, occurrences, documents; then start and end of every term."""
     start, end, text = word_starts(data, offsets)
     if not start.size:
         none = np.zeros(0, np.int64)
@@ -139,8 +139,8 @@ def count_runs(data: np.ndarray, offsets: np.ndarray, group: np.ndarray) -> tupl
     at = np.flatnonzero(cell)
     documents = np.diff(np.append(at, document.size))
     occurrences = np.diff(np.append(document[at], key.size))
-    word = order[np.flatnonzero(fresh)][run_of[at]]
-    return word, group_of[at], occurrences, documents, start, end
+    word = order[np.flatnonzero(fresh)]
+    return run_of[at], group_of[at], occurrences, documents, start[word], end[word]
 
 
 def _strings(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Array:
@@ -158,13 +158,13 @@ def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         for row, data, offsets in pieces(batch.column("text"), SHARD):
             texts = slice(row, row + offsets.size - 1)
             data = _LOWER[data]
-            word, group, n, docs, start, end = count_runs(data, offsets, code[texts])
-            if word.size:
+            term, group, n, docs, start, end = count_runs(data, offsets, code[texts])
+            if term.size:
                 yield pa.RecordBatch.from_arrays(
                     [
                         lang.dictionary.take(pa.array(group // len(source.dictionary))),
                         source.dictionary.take(pa.array(group % len(source.dictionary))),
-                        _strings(data, start[word], end[word]).cast(pa.string()),
+                        _strings(data, start, end).cast(pa.string()).take(pa.array(term)),
                         pa.array(n, pa.int64()),
                         pa.array(docs, pa.int64()),
                     ],
