@@ -395,3 +395,10 @@ tree AS (SELECT a, b, h, step AS ord FROM merging WHERE step > 0)"""
 ORACLE["ward_labels"] = build(
     GREEDY.replace("{rule}", RULES["ward"]), WARD_TREE, CUT_COUNT, select="SELECT id, label FROM labels"
 )
+# the same over all points, of which many are equal; the query merges their summaries
+ORACLE["ward_summaries"] = build(
+    GREEDY.replace("{rule}", RULES["ward"]).replace(
+        "FROM embeddings)", "FROM (SELECT x.vec_id, y.embedding FROM embeddings x JOIN embeddings y ON y.vec_id = x.vec_id % 60))"
+    ),
+    WARD_TREE, CUT_COUNT, select="SELECT id, label FROM labels",
+)

@@ -418,6 +418,20 @@ def ward_labels(spark, sf):
     return cl.hierarchical_clustering(points(spark, sf), n_clusters=CLUSTERS, linkage="ward")
 
 
+COPIED = 60
+
+
+def copied_points(spark, sf):
+    """Every point at the place of one of the first few, so that many points are equal."""
+    own = points(spark, sf)
+    first = own.filter(F.col("id") < COPIED).select(F.col("id").alias("place"), "features")
+    return own.select("id", (F.col("id") % COPIED).alias("place")).join(F.broadcast(first), "place").select("id", "features")
+
+
+def ward_summaries(spark, sf):
+    return cl.hierarchical_clustering(copied_points(spark, sf), n_clusters=CLUSTERS, linkage="ward", summaries=100)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -429,6 +443,6 @@ QUERIES = {
         topic_alignment, metric_averages, metrics_csv, lda_fit, lda_fit_ml, doc_topic, perplexity,
         evolution_report, ot_kernel, sinkhorn_plan, ot_distance, topic_ot_alignment,
         nearest_neighbours, _merges("ward"), _merges("complete"), _merges("average"),
-        hclust_single, cut_n_clusters, cut_threshold, cluster_sizes, ward_labels,
+        hclust_single, cut_n_clusters, cut_threshold, cluster_sizes, ward_labels, ward_summaries,
     )
 }
