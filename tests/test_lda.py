@@ -120,12 +120,41 @@ def test_joined_model_equals_broadcast(packed, model, monkeypatch):
     monkeypatch.setattr(lda, "MODEL_BYTES", 0)
     joined = lda.fit_lda(packed, 25, K, 6)
     assert lam_cube(joined) == pytest.approx(lam_cube(model), rel=1e-8)
+    # three blocks of 20 (slice, term) rows; the second holds rows of both slices
+    monkeypatch.setattr(lda, "MODEL_BYTES", 8 * K * 20)
+    plan = lda.infer_topics(packed, joined)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 4 and "Exchange" not in plan and "Join" not in plan
     assert dict(rows(lda.perplexity(packed, joined))) == pytest.approx(ppl)
     again = rows(lda.doc_topic(packed, joined))
     assert [r[:3] for r in again] == [r[:3] for r in topics]
     assert [r[3] for r in again] == pytest.approx([r[3] for r in topics])
 
 
+def test_slice_groups_equal_one_fit(spark, monkeypatch):
+    parts = [corpus_matrix(s, docs=20 + 7 * s) for s in range(5)]
+    packed = packed_table(spark, parts).cache()
+    whole = lam_cube(lda.fit_lda(packed, 25, K, 4))
+    monkeypatch.setattr(lda, "_fit_joined", None)  # entries are never joined while a slice fits
+    for slices in (2, 1):
+        monkeypatch.setattr(lda, "MODEL_BYTES", slices * 8 * 25 * K)
+        assert lam_cube(lda.fit_lda(packed, 25, K, 4)) == pytest.approx(whole, rel=1e-8)
+
+
+def test_fit_goes_on_from_a_model(packed, monkeypatch):
+    first = lda.fit_lda(packed, 25, K, 3)
+    ahead = lam_cube(lda.fit_lda(packed, 25, K, 2, seed=None, start=first))
+    # from ones nothing is random: two passes at once equal one after the other, in every way of fitting
+    step = lda.fit_lda(packed, 25, K, 1, seed=None, start=first)
+    assert lam_cube(lda.fit_lda(packed, 25, K, 1, seed=None, start=step)) == pytest.approx(ahead, rel=1e-8)
+    for limit in (8 * 25 * K, 0):
+        monkeypatch.setattr(lda, "MODEL_BYTES", limit)
+        assert lam_cube(lda.fit_lda(packed, 25, K, 2, seed=None, start=first)) == pytest.approx(ahead, rel=1e-8)
+    with pytest.raises(ValueError, match="start model"):
+        lda.fit_lda(packed, 25, K, 2, seed=None)
+    with pytest.raises(ValueError, match="other slices"):
+        lda.fit_lda(packed, 24, K, 2, start=first)
+
+
 def test_topics_in_blocks_wider_than_one_row(spark, packed):
     model = lda.fit_lda(packed, 25, 20, 2)
     assert (lam_cube(model) - 1 / 20).sum() == pytest.approx(corpus_matrix(0).sum() + corpus_matrix(1, docs=45).sum())
@@ -228,11 +257,13 @@ def test_string_document_ids(spark):
     assert shares.select("doc_id").distinct().count() == 60
 
 
-def test_scoring_a_stream_equals_batch(spark, packed, model, tmp_path):
+def test_scoring_a_stream_equals_batch(spark, packed, model, tmp_path, monkeypatch):
     corpus = word_corpus(spark, 40, vocab=25).withColumn("slice_id", F.lit(0))
     vocab = vo.fit_vocabulary(corpus, 25, ()).cache()
     corpus.write.parquet(str(tmp_path / "in"))
     want = rows(score_documents(corpus, vocab, model))
+    # a model beyond the bound, in three blocks
+    monkeypatch.setattr(lda, "MODEL_BYTES", 8 * K * 20)
     stream = spark.readStream.schema(corpus.schema).parquet(str(tmp_path / "in"))
     query = (
         score_documents(stream, vocab, model)
@@ -245,4 +276,6 @@ def test_scoring_a_stream_equals_batch(spark, packed, model, tmp_path):
         query.processAllAvailable()
     finally:
         query.stop()
-    assert rows(spark.table("scored")) == want
+    got = rows(spark.table("scored"))
+    assert [r[:2] for r in got] == [r[:2] for r in want]
+    assert [r[2] for r in got] == [pytest.approx(r[2]) for r in want]

@@ -19,9 +19,9 @@ def repeated(spark):
     return spark.createDataFrame([(1, "cat dog"), (1, "dog dog"), (2, "bird"), (3, "cat")], "doc_id long, text string")
 
 
-@pytest.mark.parametrize("inline", [20_000, 0])
-def test_packing_keeps_rows_of_repeated_ids_apart(spark, repeated, inline, monkeypatch):
-    monkeypatch.setattr(vo, "INLINE_VOCABULARY", inline)
+@pytest.mark.parametrize("terms", [4_000_000, 1])
+def test_packing_keeps_rows_of_repeated_ids_apart(spark, repeated, terms, monkeypatch):
+    monkeypatch.setattr(vo, "TABLE_TERMS", terms)
     packed = vo.pack_documents(repeated, vo.fit_vocabulary(repeated, 3))
     assert sorted((r["doc_id"], r["terms"], r["cnts"]) for r in packed.collect()) == [
         (1, [1, 2], [1.0, 1.0]), (1, [2], [2.0]), (2, [0], [1.0]), (3, [1], [1.0])

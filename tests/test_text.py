@@ -3,9 +3,11 @@
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 from conftest import rows
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from topicflow.functions.text import ENGLISH_STOP_WORDS
 from topicflow.operators import vocabulary as vo
@@ -62,9 +64,9 @@ def test_vocabulary_limits(corpus):
         vo.check_vocabulary(vo.fit_vocabulary(stop_only, 5))
 
 
-@pytest.mark.parametrize("inline", [20_000, 0])
-def test_pack_keeps_empty_documents(corpus, inline, monkeypatch):
-    monkeypatch.setattr(vo, "INLINE_VOCABULARY", inline)
+@pytest.mark.parametrize("terms", [4_000_000, 1])
+def test_pack_keeps_empty_documents(corpus, terms, monkeypatch):
+    monkeypatch.setattr(vo, "TABLE_TERMS", terms)
     vocab = vo.fit_vocabulary(corpus, 3)
     packed = {r["doc_id"]: (r["terms"], r["cnts"]) for r in vo.pack_documents(corpus, vocab).collect()}
     assert packed == {
@@ -84,6 +86,35 @@ def test_pack_is_narrow(corpus):
     assert "Exchange" not in main and "Join" not in main
 
 
+def test_probe_tells_terms_of_one_first_hash_apart():
+    high = np.array([5, 5, 5, 9], np.int64)
+    table = (high, np.array([1, 2, 3, 1], np.int64), np.array([10, 11, 12, 13], np.int32))
+    got = vo._probe(table, np.array([5, 5, 5, 9, 9, 4, 10, 5], np.int64), np.array([3, 1, 4, 1, 2, 1, 1, 2], np.int64))
+    assert got.tolist() == [12, 10, -1, 13, -1, -1, -1, 11]
+
+
+def test_large_vocabulary_on_a_stream(spark, tmp_path, monkeypatch):
+    """100,000 terms in two tables, looked up in a stream as in a batch."""
+    monkeypatch.setattr(vo, "TABLE_TERMS", 60_000)
+    number = F.row_number().over(Window.orderBy("id")) - 1
+    vocab = spark.range(100_000).select(number.cast("int").alias("term_id"), F.concat(F.lit("w"), F.lpad("id", 6, "0")).alias("term")).cache()
+    text = F.concat_ws(" ", *[F.concat(F.lit("w"), F.lpad(((F.col("id") * 37 + k * 997) % 110_000).cast("string"), 6, "0")) for k in range(5)], F.lit("other"))
+    docs = spark.range(4000).select(F.col("id").alias("doc_id"), text.alias("text"))
+    docs.write.parquet(str(tmp_path / "in"))
+    want = {i: sorted({n for k in range(5) if (n := (i * 37 + k * 997) % 110_000) < 100_000}) for i in range(4000)}
+    stream = spark.readStream.schema("doc_id long, text string").parquet(str(tmp_path / "in"))
+    query = (
+        vo.pack_documents(stream, vocab).writeStream.format("memory").queryName("packed")
+        .option("checkpointLocation", str(tmp_path / "state")).start()
+    )
+    try:
+        query.processAllAvailable()
+    finally:
+        query.stop()
+    assert {r["doc_id"]: r["terms"] for r in spark.table("packed").collect()} == want
+    assert {r["doc_id"]: r["terms"] for r in vo.pack_documents(docs, vocab).collect()} == want
+
+
 def test_long_form_and_presence(corpus):
     packed = vo.pack_documents(corpus, vo.fit_vocabulary(corpus, 3))
     assert rows(vo.doc_term_matrix(packed)) == [(0, 1, 2), (3, 1, 1), (3, 2, 2), (4, 0, 2), (4, 2, 1)]

@@ -4,22 +4,26 @@ Arrays are exploded with the ``_outer`` forms and NULLs filtered afterwards: for
 plain ``explode`` the optimizer infers a filter on the size of the array and
 pushes it to the scan, which would evaluate the tokeniser a second time.
 
-The whole path from text to packed term counts is narrow.  Only the vocabulary
-itself needs a shuffle, of one partial count per task and term.
+The whole path from text to packed term counts is narrow, for any vocabulary and on
+streams too.  Only the vocabulary itself needs a shuffle, of one partial count per task and term.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StructField, StructType
 from pyspark.sql.window import Window
 
 from topicflow.functions.text import ENGLISH_STOP_WORDS, tokens, with_run_lengths
 
-# Largest vocabulary that is shipped inside the plan as a look-up literal.
-INLINE_VOCABULARY = 20_000
+# Terms of one look-up table: 20 bytes each, so a table has at most 80 MB.  Larger vocabularies are
+# looked up in several tables, one narrow stage after another.
+TABLE_TERMS = 4_000_000
 
 PACKED_SCHEMA = "terms array<int>, cnts array<double>"
 
@@ -93,24 +97,76 @@ def check_vocabulary(vocab: DataFrame) -> int:
     return size
 
 
-def _lookup_table(vocab: DataFrame, size: int) -> tuple[Column, int]:
-    """The vocabulary as one scalar: an array of small maps addressed by hash.
-
-    A lookup reads one array slot and scans a map of about one entry, so it is
-    constant time, while a single map of V entries would be scanned linearly.
-    """
-    buckets = 1 << max(size - 1, 1).bit_length()
-    slot = F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")
-    filled = vocab.groupBy(slot.alias("slot")).agg(
-        F.collect_list(F.struct("term", "term_id")).alias("entries")
-    )
-    slots = vocab.sparkSession.range(buckets).select(F.col("id").cast("int").alias("slot"))
-    one_row = (
-        slots.join(filled, "slot", "left")
-        .agg(F.sort_array(F.collect_list(F.struct("slot", "entries"))).alias("t"))
-        .select(F.transform("t", lambda e: F.map_from_entries(e["entries"])).alias("table"))
-    )
-    return one_row.scalar(), buckets
+# --- look-up ---------------------------------------------------------------------
+
+
+def _hashes(term: Column) -> tuple[Column, Column]:
+    """128 bits that stand for a term: a vocabulary of 10^9 terms has two equal ones with a probability below 10^-20."""
+    return F.xxhash64(term), F.xxhash64(F.lit(1), term)
+
+
+def _table(vocab: DataFrame, tables: int, number: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes and ids of the terms of one table, sorted by hash."""
+    high, low = _hashes(F.col("term"))
+    rows = vocab.select(high.alias("high"), low.alias("low"), F.col("term_id").cast("int").alias("id"))
+    if tables > 1:
+        rows = rows.filter(F.pmod("high", F.lit(tables)) == number)
+    found = rows.toArrow()
+    high, low, ids = (found[c].to_numpy() for c in ("high", "low", "id"))
+    order = np.lexsort((low, high))
+    return high[order], low[order], ids[order]
+
+
+def _probe(table: tuple[np.ndarray, np.ndarray, np.ndarray], high: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """Ids of hashed terms, -1 for terms that the table does not have."""
+    keys, second, ids = table
+    out = np.full(high.size, -1, np.int32)
+    if not keys.size:
+        return out
+    at = np.searchsorted(keys, high)
+    # terms that share the first hash stand side by side
+    open_ = np.flatnonzero(at < keys.size)
+    while open_.size:
+        place = at[open_]
+        same = keys[place] == high[open_]
+        hit = same & (second[place] == low[open_])
+        out[open_[hit]] = ids[place[hit]]
+        at[open_] += 1
+        open_ = open_[same & ~hit]
+        open_ = open_[at[open_] < keys.size]
+    return out
+
+
+def _list_values(column: pa.Array) -> np.ndarray:
+    return np.asarray(column.flatten())
+
+
+def _look_up(shared, last: bool):
+    """A stage that adds the ids of one table; the last one keeps and sorts what was found."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            offsets = np.asarray(batch.column("_high").offsets)
+            high, low, count = (_list_values(batch.column(c)) for c in ("_high", "_low", "_cnt"))
+            found = _probe(shared.value, high, low)
+            if "_id" in batch.schema.names:
+                found = np.maximum(found, _list_values(batch.column("_id")))
+            keys = [c for c in batch.schema.names if c not in ("_high", "_low", "_cnt", "_id")]
+            columns = [batch.column(c) for c in keys]
+            offsets = offsets - offsets[0]
+            if last:
+                row = np.repeat(np.arange(batch.num_rows), np.diff(offsets))
+                known = np.flatnonzero(found >= 0)
+                order = known[np.lexsort((found[known], row[known]))]
+                bounds = np.concatenate([[0], np.cumsum(np.bincount(row[known], minlength=batch.num_rows))])
+                lists = {"terms": found[order], "cnts": count[order].astype(np.float64)}
+            else:
+                bounds, lists = offsets, {"_high": high, "_low": low, "_cnt": count, "_id": found}
+            at = pa.array(bounds, pa.int32())
+            columns += [pa.ListArray.from_arrays(at, pa.array(v)) for v in lists.values()]
+            yield pa.RecordBatch.from_arrays(columns, names=[*keys, *lists])
+
+    return run
 
 
 def pack_documents(
@@ -118,39 +174,30 @@ def pack_documents(
 ) -> DataFrame:
     """One row per document: its columns but ``text`` (or ``counted``), plus sorted ``terms`` and ``cnts``.
 
-    Documents without a known term stay, with empty arrays.  A vocabulary of up
-    to ``INLINE_VOCABULARY`` terms is looked up inside the row, with no shuffle at
-    all; a larger one is joined, with one shuffle by document.
+    Documents without a known term stay, with empty arrays.  Terms travel as hashes and are looked up in
+    sorted tables that the tasks share, whatever the size of the vocabulary: no shuffle, and the
+    same on a stream.  Column names ``_high``, ``_low``, ``_cnt`` and ``_id`` are taken.
     """
     vocab = vocab.select("term", "term_id")
     size = check_vocabulary(vocab) if vocab_size is None else vocab_size
     keys = [c for c in corpus.columns if c not in ("text", "counted")]
     counted = count_documents(corpus)
-    if size <= INLINE_VOCABULARY:
-        table, buckets = _lookup_table(vocab, size)
-
-        def entry(run: Column) -> Column:
-            slot = F.pmod(F.xxhash64(run["term"]), F.lit(buckets)).cast("int")
-            number = F.try_element_at(F.get(F.col("_table"), slot), run["term"])
-            return F.struct(number.alias("term_id"), run["cnt"].alias("cnt"))
-
-        ids = counted.withColumn("_table", table).select(*keys, F.transform("counted", entry).alias("_ids"))
-        known = F.filter("_ids", lambda e: e["term_id"].isNotNull())
-        runs = ids.select(*keys, F.sort_array(known).alias("_runs"))
-    else:
-        if corpus.isStreaming:
-            raise ValueError(f"a vocabulary of more than {INLINE_VOCABULARY} terms is joined by row, which needs a batch DataFrame")
-        # rows are told apart by a number of their own, so repeated ids stay apart as in the look-up
-        numbered = counted.withColumn("_row", F.monotonically_increasing_id())
-        known = numbered.select("_row", *keys, F.inline_outer("counted")).join(vocab, "term", "left")
-        entry = F.when(F.col("term_id").isNotNull(), F.struct("term_id", "cnt"))
-        runs = known.groupBy("_row", *keys).agg(F.sort_array(F.collect_list(entry)).alias("_runs"))
-    runs = runs.withColumn("_runs", F.coalesce("_runs", F.array().cast("array<struct<term_id:int,cnt:bigint>>")))
-    return runs.select(
+    runs = F.coalesce("counted", F.array().cast(counted.schema["counted"].dataType))
+    rows = counted.select(
         *keys,
-        F.transform("_runs", lambda r: r["term_id"]).alias("terms"),
-        F.transform("_runs", lambda r: r["cnt"].cast("double")).alias("cnts"),
+        F.transform(runs, lambda r: _hashes(r["term"])[0]).alias("_high"),
+        F.transform(runs, lambda r: _hashes(r["term"])[1]).alias("_low"),
+        F.transform(runs, lambda r: r["cnt"].cast("long")).alias("_cnt"),
     )
+    own = [rows.schema[c] for c in keys]
+    middle = StructType(own + [StructField(c, ArrayType(k())) for c, k in (("_high", LongType), ("_low", LongType), ("_cnt", LongType), ("_id", IntegerType))])
+    done = StructType(own + [StructField("terms", ArrayType(IntegerType())), StructField("cnts", ArrayType(DoubleType()))])
+    tables = max(1, -(-size // TABLE_TERMS))
+    context = corpus.sparkSession.sparkContext
+    for number in range(tables):
+        last = number == tables - 1
+        rows = rows.mapInArrow(_look_up(context.broadcast(_table(vocab, tables, number)), last), done if last else middle)
+    return rows
 
 
 def doc_term_matrix(packed: DataFrame) -> DataFrame:

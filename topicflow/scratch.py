@@ -63,10 +63,10 @@ class Scratch:
         self._seq += 1
         return f"{self.path}/{self._seq:04d}-{name}"
 
-    def save(self, df: DataFrame, name: str) -> DataFrame:
-        """Write ``df`` and return a scan of what was written."""
+    def save(self, df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
+        """Write ``df``, a folder per value of ``partition_by``, and return a scan of what was written."""
         path = self.subpath(name)
-        df.write.parquet(path)
+        df.write.parquet(path, partitionBy=partition_by)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def _delete(self, where: str) -> None:

@@ -13,8 +13,6 @@ from topicflow.operators.vocabulary import pack_documents
 
 
 def score_documents(corpus: DataFrame, vocab: DataFrame, model: LdaModel) -> DataFrame:
-    """``(slice_id, doc_id, topics)`` for ``corpus(slice_id, doc_id, text)``; works on a stream
-    while the vocabulary and model are within their inline bounds."""
-    if corpus.isStreaming and not model.fits_broadcast:
-        raise ValueError("a model this large is joined by document, which needs a batch DataFrame")
+    """``(slice_id, doc_id, topics)`` for ``corpus(slice_id, doc_id, text)``, batch or stream, whatever the size
+    of the vocabulary and the model: both are shared with the tasks in tables of bounded size."""
     return infer_topics(pack_documents(corpus, vocab), model)
