@@ -277,6 +277,7 @@ ORACLE = {
     "corpus_scan": "SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS pos, text FROM documents",
     "conversation_scan": """SELECT conv_id, turn, row_number() OVER (ORDER BY conv_id, turn) - 1 AS pos, text
 FROM conversations""",
+    "corpus_in_file_order": "SELECT row_number() OVER () - 1 AS pos, text, lang FROM documents",
     "strip_mail": STRIP_MAIL,
     "tokens": f"""SELECT doc_id, CAST(i - 1 AS INTEGER) AS idx, toks[i] AS token FROM (
   SELECT doc_id, toks, unnest(range(1, len(toks) + 1)) AS i FROM (
@@ -299,6 +300,10 @@ ftok AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '{PATTERN}')) AS
 GROUP BY doc_id, term_id""",
         stop=True,
     ),
+    "dtm_large_vocabulary": build(
+        TOK, DTC, VOCAB.replace("LIMIT 500", "LIMIT 100000"),
+        select="SELECT doc_id, term_id, cnt FROM dtc JOIN vocab USING (term)", stop=True,
+    ),
     "slice_by_position": build(SLICED, select="SELECT doc_id, slice_id FROM sliced"),
     "slice_sizes": """SELECT slice_id, count(*) AS n_docs FROM (
   SELECT CAST(least(pos // (n // 7), 6) AS INTEGER) AS slice_id FROM (

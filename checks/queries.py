@@ -98,6 +98,12 @@ def conversation_scan(spark, sf):
     return sl.with_position(df, ["conv_id", "turn"]).select("conv_id", "turn", "pos", "text")
 
 
+def corpus_in_file_order(spark, sf):
+    """The corpus without its ids: numbered as its rows stand in the file."""
+    df = co.read_corpus(spark, f"{sf}/documents.parquet", id_col=None, keep=("lang",))
+    return df.select(F.col("doc_id").alias("pos"), "text", "lang")
+
+
 def strip_mail(spark, sf):
     df = docs(spark, sf, keep=("lang", "source"))
     mail = F.concat(
@@ -141,6 +147,13 @@ def dtm_transform(spark, sf):
     return vo.doc_term_matrix(vo.pack_documents(new.unionByName(turns), vocab))
 
 
+def dtm_large_vocabulary(spark, sf):
+    """Cells under a vocabulary of up to 100,000 terms."""
+    corpus = Scratch(spark, "counted").save(vo.count_documents(docs(spark, sf)), "counted")
+    vocab = Scratch(spark, "vocab").save(vo.fit_vocabulary(corpus, 100_000), "vocab")
+    return vo.doc_term_matrix(vo.pack_documents(corpus, vocab))
+
+
 # --- slices ------------------------------------------------------------------
 
 
@@ -300,13 +313,15 @@ def metrics_csv(spark, sf):
 # --- fitted topic models -------------------------------------------------------
 
 
-def _fitted(spark, sf, max_iter: int = 10):
+def _fitted(spark, sf):
+    """Packed documents and the model of the default experiment."""
+    cfg = Config()
     scratch = Scratch(spark, "fit")
     corpus = scratch.save(vo.count_documents(docs(spark, sf)), "counted")
-    vocab = scratch.save(vo.fit_vocabulary(corpus, VOCABULARY), "vocab")
-    sliced = sl.slice_by_position(corpus, SLICES, scratch=scratch)
+    vocab = scratch.save(vo.fit_vocabulary(corpus, cfg.max_features), "vocab")
+    sliced = sl.slice_by_position(corpus, cfg.n_slices, scratch=scratch)
     packed = scratch.save(vo.pack_documents(sliced, vocab), "packed")
-    return packed, ld.fit_lda(packed, vocab.count(), 10, max_iter, scratch=scratch)
+    return packed, ld.fit_lda(packed, vocab.count(), cfg.n_topics, cfg.max_iter, cfg.random_state, scratch=scratch)
 
 
 def lda_fit(spark, sf):
@@ -435,8 +450,8 @@ def ward_summaries(spark, sf):
 QUERIES = {
     f.__name__: f
     for f in (
-        corpus_scan, conversation_scan, strip_mail, tokens, tokens_nostop, doc_term_counts,
-        vocabulary, dtm, presence, dtm_transform, slice_by_position, slice_sizes,
+        corpus_scan, conversation_scan, corpus_in_file_order, strip_mail, tokens, tokens_nostop, doc_term_counts,
+        vocabulary, dtm, presence, dtm_transform, dtm_large_vocabulary, slice_by_position, slice_sizes,
         time_sliced_corpus, topic_word, doc_freq, top_words, top_words_ties, topic_word_pairs,
         cooccurrence, npmi, topic_coherence, topic_diversity, topic_cosine, topic_cost,
         topic_assignment, topic_tracks, aligned_topic_word, topic_drift, evolution_smoothness,

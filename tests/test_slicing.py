@@ -1,5 +1,7 @@
 """Positions and slices."""
 
+from datetime import datetime
+
 import pytest
 from conftest import rows
 from pyspark.sql import functions as F
@@ -67,3 +69,16 @@ def test_time_slices_skip_empty_windows(spark):
     ).select("doc_id", F.to_timestamp("t").alias("ts"))
     got = rows(sl.slice_by_time(df, "ts", "1 hour").select("doc_id", "slice_id"))
     assert got == [(1, 0), (2, 0), (3, 1)]
+
+
+def test_slices_by_time(spark):
+    rows_ = [(i, f"2024-01-{1 + (i * 7) % 28:02d} 12:00:00") for i in range(40)]
+    df = spark.createDataFrame(rows_, "doc_id long, ts string").withColumn("ts", F.col("ts").cast("timestamp"))
+    got = {r["doc_id"]: r["slice_id"] for r in sl.slice_by_time(df, "ts", "5 days").collect()}
+    day = {i: datetime.fromisoformat(t).timestamp() // (5 * 86400) for i, t in rows_}
+    names = sorted(set(day.values()))
+    assert got == {i: names.index(d) for i, d in day.items()}
+    assert {r["slice_id"] for r in sl.slice_by_time(df.filter("doc_id < 3"), "ts", "1 day").collect()} == {0, 1, 2}
+    missing = df.unionByName(spark.createDataFrame([(99, None)], df.schema))
+    with pytest.raises(ValueError, match="no slice"):
+        sl.slice_by_time(missing, "ts", "5 days")

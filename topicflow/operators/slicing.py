@@ -145,14 +145,16 @@ def slice_by_time(
 ) -> DataFrame:
     """Add ``slice_id``: the rank of the row's tumbling time window among non-empty windows.
 
-    The rank runs over distinct windows, one row each, which are saved so that their
-    counted number decides on the broadcast; documents are not shuffled for it.
+    Distinct windows, one row each, are numbered range by range, never in one task; saved, their counted number
+    decides on the broadcast.  Documents are not shuffled for it.  Rows without a time are in no window: an error.
     """
     scratch = scratch or Scratch(df.sparkSession, "windows")
     start = F.window(ts_col, width)["start"]
+    if df.filter(F.col(ts_col).isNull()).take(1):
+        raise ValueError(f"{ts_col} is NULL in some rows, which belong to no slice")
     spans = df.select(start.alias("_w")).distinct()
-    number = F.dense_rank().over(Window.orderBy("_w")) - 1
-    ranked = scratch.save(spans.select("_w", number.cast("int").alias("slice_id")), "windows")
+    numbered = with_position(spans, ["_w"], scratch)
+    ranked = scratch.save(numbered.select("_w", F.col("pos").cast("int").alias("slice_id")), "windows")
     return df.withColumn("_w", start).join(broadcast_checked(ranked), "_w").drop("_w")
 
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,6 +24,9 @@ class Config:
     top_n: int = 10
     stop_words: Iterable[str] = ENGLISH_STOP_WORDS
     order_cols: Sequence[str] = ("doc_id",)
+    # slices by tumbling time windows of this column in place of ``n_slices`` runs of rows
+    time_col: str | None = None
+    time_width: str = "30 days"
 
     def check(self) -> None:
         if self.n_slices < 1:
@@ -56,26 +59,32 @@ class Evolution:
 
 
 def run(spark: SparkSession, corpus: DataFrame, cfg: Config = Config(), output_csv: str | None = None) -> Evolution:
-    """Run on ``corpus(doc_id, text, ...order columns)``.
+    """Run on ``corpus(doc_id, text, ...order or time columns)``.
 
     The text is read and tokenised once, and never shuffled; everything after works on
     saved term counts.
     """
     cfg.check()
     scratch = Scratch(spark, "run")
-    keep = [c for c in ("doc_id", "text", *cfg.order_cols) if c in corpus.columns]
+    ordered = [cfg.time_col] if cfg.time_col else cfg.order_cols
+    keep = [c for c in ("doc_id", "text", *ordered) if c in corpus.columns]
     corpus = corpus.select(*dict.fromkeys(keep))
     corpus = scratch.save(vocabulary.count_documents(corpus), "counted")
     vocab = scratch.save(vocabulary.fit_vocabulary(corpus, cfg.max_features, cfg.stop_words), "vocab")
     n_terms = vocabulary.check_vocabulary(vocab)
     if cfg.top_n > n_terms:
         raise ValueError(f"top_n={cfg.top_n} exceeds the vocabulary of {n_terms} terms")
-    sliced = slicing.slice_by_position(corpus, cfg.n_slices, cfg.order_cols, scratch=scratch)
+    if cfg.time_col:
+        sliced = slicing.slice_by_time(corpus, cfg.time_col, cfg.time_width, scratch)
+    else:
+        sliced = slicing.slice_by_position(corpus, cfg.n_slices, cfg.order_cols, scratch=scratch)
     packed = scratch.save(
         vocabulary.pack_documents(sliced.select("doc_id", "slice_id", "counted"), vocab, n_terms), "packed"
     )
     scratch.forget(corpus)
     sizes = scratch.save(slicing.slice_sizes(packed), "sizes")
+    if cfg.time_col:
+        cfg = replace(cfg, n_slices=sizes.count())
 
     model = lda.fit_lda(
         packed, n_terms, cfg.n_topics, cfg.max_iter, cfg.random_state, cfg.n_slices, scratch
