@@ -407,3 +407,106 @@ ORACLE["ward_summaries"] = build(
     ),
     WARD_TREE, CUT_COUNT, select="SELECT id, label FROM labels",
 )
+
+
+# --- the topic model from a given start -----------------------------------------
+# Four topics; the model is the stand-in's counts plus the prior.  Documents start from ones.
+
+
+def digamma(x: str) -> str:
+    """Shifted by eight, then the asymptotic series; exact to about 1e-13."""
+    y = f"({x} + 8)"
+    series = f"ln({y}) - 1 / (2 * {y}) - 1 / (12 * {y} ** 2) + 1 / (120 * {y} ** 4) - 1 / (252 * {y} ** 6) + 1 / (240 * {y} ** 8) - 1 / (132 * {y} ** 10)"
+    return f"({series} - " + " - ".join(f"1 / ({x} + {i})" for i in range(8)) + ")"
+
+
+def log_mean(g: str) -> str:
+    """E[log] of a Dirichlet list."""
+    return f"list_transform({g}, lambda e: {digamma('e')} - {digamma(f'list_sum({g})')})"
+
+
+GIVEN = """
+lam0 AS MATERIALIZED (
+  SELECT s.slice_id, v.term_id, list_transform(range(0, 4), lambda t: coalesce(m[t::INTEGER], 0) + 0.25) AS lam
+  FROM (SELECT DISTINCT slice_id FROM sliced) s CROSS JOIN vocab v
+  LEFT JOIN (SELECT slice_id, term_id, map(list(topic_id), list(lam)) AS m FROM counts GROUP BY ALL) c
+    ON c.slice_id = s.slice_id AND c.term_id = v.term_id)"""
+
+# the rows of exp(E[log beta]) of each document's terms, then the inner loop; {t} numbers the pass
+E_STEP = """
+total{t} AS (SELECT slice_id, [sum(lam[1]), sum(lam[2]), sum(lam[3]), sum(lam[4])] AS s FROM lam{t} GROUP BY slice_id),
+elog{t} AS MATERIALIZED (
+  SELECT slice_id, term_id, lam, list_transform(lam, lambda e, k: {psi_e} - {psi_s}) AS elog
+  FROM lam{t} JOIN total{t} USING (slice_id)),
+entry{t} AS MATERIALIZED (
+  SELECT d.slice_id, d.doc_id, d.term_id, d.cnt::DOUBLE AS n, e.elog, list_transform(e.elog, lambda x: exp(x)) AS beta
+  FROM dtm d JOIN elog{t} e ON e.slice_id = d.slice_id AND e.term_id = d.term_id),
+rows{t} AS MATERIALIZED (
+  SELECT doc_id, list(n ORDER BY term_id) AS n, list(beta ORDER BY term_id) AS beta,
+         [list(beta[1] ORDER BY term_id), list(beta[2] ORDER BY term_id), list(beta[3] ORDER BY term_id), list(beta[4] ORDER BY term_id)] AS cols
+  FROM entry{t} GROUP BY doc_id),
+loop{t} AS (
+  SELECT doc_id, 0 AS it, [1.0::DOUBLE, 1, 1, 1] AS g, 1.0::DOUBLE AS moved FROM rows{t}
+  UNION ALL
+  SELECT doc_id, it + 1, g2, (abs(g2[1] - g[1]) + abs(g2[2] - g[2]) + abs(g2[3] - g[3]) + abs(g2[4] - g[4])) / 4
+  FROM (SELECT doc_id, it, g, list_transform(cols, lambda c, k: 0.25 + theta[k] * list_dot_product(c, r)) AS g2
+    FROM (SELECT doc_id, it, g, cols, theta,
+                 list_transform(beta, lambda b, i: n[i] / (list_dot_product(b, theta) + 2.220446049250313e-16)) AS r
+      FROM (SELECT l.doc_id, it, g, n, beta, cols, list_transform({mean_g}, lambda x: exp(x)) AS theta
+            FROM loop{t} l JOIN rows{t} x ON x.doc_id = l.doc_id WHERE it < 100 AND moved >= 1e-3)))),
+gamma{t} AS MATERIALIZED (SELECT doc_id, arg_max(g, it) AS g FROM loop{t} GROUP BY doc_id)"""
+
+# expected counts, and the model of the next pass
+M_STEP = """
+stats{t} AS (
+  SELECT slice_id, term_id, sum(w * theta[1]) AS s1, sum(w * theta[2]) AS s2, sum(w * theta[3]) AS s3, sum(w * theta[4]) AS s4
+  FROM (SELECT slice_id, term_id, theta, n / (list_dot_product(beta, theta) + 2.220446049250313e-16) AS w
+    FROM (SELECT e.slice_id, e.term_id, n, beta, list_transform({mean_g}, lambda x: exp(x)) AS theta
+          FROM entry{t} e JOIN gamma{t} USING (doc_id)))
+  GROUP BY slice_id, term_id),
+lam{u} AS MATERIALIZED (
+  SELECT e.slice_id, e.term_id, list_transform(e.elog, lambda x, k: 0.25 + exp(x) * coalesce([s1, s2, s3, s4][k], 0)) AS lam
+  FROM elog{t} e LEFT JOIN stats{t} s ON s.slice_id = e.slice_id AND s.term_id = e.term_id)"""
+
+
+def model_pass(text: str, t: int) -> str:
+    parts = {"{t}": str(t), "{u}": str(t + 1), "{psi_e}": digamma("e"), "{psi_s}": digamma("s[k]"), "{mean_g}": log_mean("g")}
+    for name, value in parts.items():
+        text = text.replace(name, value)
+    return text
+
+
+ORACLE |= {
+    "lda_fit_given": build(
+        *TOPICS, GIVEN, model_pass(E_STEP, 0), model_pass(M_STEP, 0), model_pass(E_STEP, 1), model_pass(M_STEP, 1),
+        select="""SELECT slice_id, topic_id, term_id, round(lam, 6) AS lam FROM (
+  SELECT slice_id, term_id, unnest(range(0, 4))::INTEGER AS topic_id, unnest(lam) AS lam FROM lam2)""",
+    ),
+    # documents without a known term have equal shares
+    "doc_topic_given": build(
+        *TOPICS, GIVEN, model_pass(E_STEP, 0),
+        select="""SELECT slice_id, doc_id, unnest(range(0, 4))::INTEGER AS topic_id, round(unnest(p), 6) AS p FROM (
+  SELECT s.slice_id, s.doc_id, coalesce(list_transform(g, lambda x: x / list_sum(g)), [0.25, 0.25, 0.25, 0.25]) AS p
+  FROM sliced s LEFT JOIN gamma0 USING (doc_id))""",
+    ),
+    "perplexity_given": build(
+        *TOPICS, GIVEN, model_pass(E_STEP, 0),
+        f"""
+mean AS (SELECT s.slice_id, s.doc_id, coalesce(g, [0.25, 0.25, 0.25, 0.25]) AS g FROM sliced s LEFT JOIN gamma0 USING (doc_id)),
+known AS MATERIALIZED (SELECT *, {log_mean("g")} AS m FROM mean),
+words AS (
+  SELECT e.slice_id, sum(n) AS n, sum(n * ln(list_sum(list_transform(elog, lambda x, k: exp(x + m[k]))))) AS b
+  FROM entry0 e JOIN known USING (doc_id) GROUP BY e.slice_id),
+docs AS (
+  SELECT slice_id, sum(list_sum(list_transform(g, lambda x, k: (0.25 - x) * m[k] + lgamma(x) - lgamma(0.25)))
+                       + lgamma(1.0) - lgamma(list_sum(g))) AS b FROM known GROUP BY slice_id),
+cells AS (
+  SELECT slice_id, sum(list_sum(list_transform(lam, lambda x, k: (0.25 - x) * elog[k] + lgamma(x) - lgamma(0.25)))) AS b
+  FROM elog0 GROUP BY slice_id),
+ends AS (
+  SELECT slice_id, list_sum(list_transform(s, lambda x: lgamma(0.25 * v) - lgamma(x))) AS b
+  FROM total0, (SELECT count(*) AS v FROM vocab))""",
+        select="""SELECT slice_id, round(exp(-(words.b + docs.b + cells.b + ends.b) / n), 6) AS perplexity
+FROM words JOIN docs USING (slice_id) JOIN cells USING (slice_id) JOIN ends USING (slice_id)""",
+    ),
+}

@@ -334,6 +334,38 @@ def lda_fit_ml(spark, sf):
     return ld.fit_lda_mllib(sl.slice_by_position(corpus, SLICES), vocab, 10, 5)
 
 
+def _given(spark, sf):
+    """Packed documents and a model that SQL can say: the stand-in topics' counts plus the prior."""
+    p = Prepared(spark, sf)
+    cells = p.packed.select(
+        "slice_id", F.col("topic").alias("topic_id"), F.explode_outer(F.arrays_zip("terms", "cnts")).alias("e")
+    ).filter(F.col("e").isNotNull())
+    counts = cells.groupBy("slice_id", F.col("e.terms").alias("term_id")).pivot("topic_id", list(range(len(LANGUAGES)))).agg(F.sum("e.cnts"))
+    n_terms = p.vocab.count()
+    grid = spark.range(SLICES).select(F.col("id").cast("int").alias("slice_id"), F.explode(F.expr(f"sequence(0, {n_terms - 1})")).alias("term_id"))
+    lam = F.array(*[F.coalesce(F.col(str(k)), F.lit(0.0)) + 1 / len(LANGUAGES) for k in range(len(LANGUAGES))])
+    table = grid.join(counts, ["slice_id", "term_id"], "left").select("slice_id", "term_id", lam.alias("lam"))
+    packed = p.packed.select("slice_id", "doc_id", "terms", "cnts")
+    return packed, ld.LdaModel(p.scratch.save(table, "given"), len(LANGUAGES), n_terms, SLICES), p.scratch
+
+
+def lda_fit_given(spark, sf):
+    """Two passes from a given model, every document starting from ones."""
+    packed, model, scratch = _given(spark, sf)
+    fitted = ld.fit_lda(packed, model.n_terms, model.n_topics, 2, None, model.n_slices, scratch, model)
+    return fitted.long().withColumn("lam", r6("lam"))
+
+
+def doc_topic_given(spark, sf):
+    packed, model, _ = _given(spark, sf)
+    return ld.doc_topic(packed, model).withColumn("p", r6("p"))
+
+
+def perplexity_given(spark, sf):
+    packed, model, _ = _given(spark, sf)
+    return ld.perplexity(packed, model).withColumn("perplexity", r6("perplexity"))
+
+
 def doc_topic(spark, sf):
     return ld.doc_topic(*_fitted(spark, sf))
 
@@ -456,6 +488,7 @@ QUERIES = {
         cooccurrence, npmi, topic_coherence, topic_diversity, topic_cosine, topic_cost,
         topic_assignment, topic_tracks, aligned_topic_word, topic_drift, evolution_smoothness,
         topic_alignment, metric_averages, metrics_csv, lda_fit, lda_fit_ml, doc_topic, perplexity,
+        lda_fit_given, doc_topic_given, perplexity_given,
         evolution_report, ot_kernel, sinkhorn_plan, ot_distance, topic_ot_alignment,
         nearest_neighbours, _merges("ward"), _merges("complete"), _merges("average"),
         hclust_single, cut_n_clusters, cut_threshold, cluster_sizes, ward_labels, ward_summaries,
