@@ -12,7 +12,7 @@ from topicflow.llm import toxicity
 from topicflow.llm.language_id import UNKNOWN, codewords, fit_languages, predict_languages
 from topicflow.llm.packing import Capacity, pack, plan
 from topicflow.llm.queries import op1_sentencepiece, op5_best_fit_packing, op8_toxicity, op10_language_id
-from topicflow.llm.sentencepiece_codec import Codec, decode_ids, encode_texts
+from topicflow.llm.sentencepiece_codec import Codec, decode_ids, encode_texts, id_digest, round_trip_digest
 from topicflow.session import ship_package
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -265,3 +265,14 @@ def test_toxicity_spans_and_edges(spark):
     assert "É nasty day".encode()[span.start : span.end] == b"nasty"
     assert toxicity.fit_toxicity(df, df.filter("y = 0").select("doc_id", "y"), "doc_id", "text", "y") is None
     assert {r.score for r in toxicity.score_toxicity(more, None).collect()} == {0.0}
+
+
+def test_round_trip_in_one_pass_equals_three(spark, monkeypatch):
+    monkeypatch.setattr("topicflow.llm.sentencepiece_codec.DECODED", 50)
+    texts = [None, "", " ", "plain words  and\ttabs", "é\u0301 日本語 \U0001f600", "word " * 300, "x" * 2000, "<0x41> ▁ ⁇"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").selectExpr("*", "1 AS ids", "2 AS decoded")
+    one = round_trip_digest(df, PIECES)
+    assert one.columns == ["doc_id", "ids", "decoded", "n_ids", "ids_crc32", "decoded_sha256"]
+    three = id_digest(decode_ids(encode_texts(df.select("doc_id", "text"), PIECES).drop("text"), PIECES))
+    three = three.selectExpr("doc_id", "n_ids", "ids_crc32", "sha2(decoded, 256) AS decoded_sha256")
+    assert sorted(map(tuple, one.drop("ids", "decoded").collect())) == sorted(map(tuple, three.collect()))

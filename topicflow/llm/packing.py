@@ -29,8 +29,8 @@ from pyspark.sql import Window as W
 from topicflow.llm.batches import small_batches
 from topicflow.scratch import Scratch
 
-#: Different words whose ids a Python worker remembers.
-REMEMBERED = 800_000
+#: Different words whose ids a Python worker remembers: at most about 60 MB.
+REMEMBERED = 300_000
 SALTS = 64
 _tokenizers: dict = {}
 
@@ -65,10 +65,13 @@ def encode_words(path: str, texts: list[bytes]) -> list[np.ndarray]:
     """
     tokenizer, known = _encoder(path)
     split = [text.split() for text in texts]
-    new = set().union(*split).difference(known) if split else set()
+    words = set().union(*split) if split else set()
+    new = words.difference(known)
     if len(known) + len(new) > REMEMBERED:
+        # frequent words are among these texts' words: they stay
+        kept = {w: known[w] for w in words if w in known}
         known.clear()
-        new = set().union(*split)
+        known.update(kept)
     if new:
         _remember(tokenizer, known, sorted(new))
     return [np.frombuffer(b"".join(map(known.__getitem__, w)), "<u4") for w in split]

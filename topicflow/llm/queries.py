@@ -17,7 +17,7 @@ from topicflow.llm.language_id import fit_languages, predict_languages
 from topicflow.llm.line_dedup import dedup_lines
 from topicflow.llm.near_dedup import near_duplicates
 from topicflow.llm.packing import pack
-from topicflow.llm.sentencepiece_codec import decode_ids, encode_texts, id_digest
+from topicflow.llm.sentencepiece_codec import round_trip_digest
 from topicflow.llm.substring_dedup import remove_repeats
 from topicflow.llm.suffix_dedup import remove_repeated_bytes
 from topicflow.llm.toxicity import fit_toxicity, score_toxicity
@@ -30,9 +30,8 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = public_tokenizers.path("piece_bpe_32k.model")
-    ids = encode_texts(_table(spark, sf_dir, "documents").select("doc_id", "text"), model).drop("text")
-    back = decode_ids(ids, model).withColumn("decoded_sha256", F.sha2("decoded", 256)).drop("decoded")
-    return id_digest(back).select("doc_id", "n_ids", "ids_crc32", "decoded_sha256")
+    done = round_trip_digest(_table(spark, sf_dir, "documents").select("doc_id", "text"), model)
+    return done.select("doc_id", "n_ids", "ids_crc32", "decoded_sha256")
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,8 +16,10 @@ mark, all paths converge there, so chunks between marks are searched apart and r
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,8 +27,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 MARK = "▁"
-#: Chunks that a Python worker remembers.
-REMEMBERED = 500_000
+#: Chunks, and pairs of pieces, that a Python worker remembers: at most about 40 MB each.
+REMEMBERED, REMEMBERED_PAIRS = 150_000, 150_000
+#: Ids whose texts are put together at once.
+DECODED = 1 << 18
 _UNIGRAM, _BPE = 1, 2
 _loaded: dict = {}
 
@@ -88,7 +92,10 @@ class Codec:
         self.reaches_across = any(MARK in p.lstrip(MARK) for p in self.ids)
         self.chunks: dict[str, bytes] = {}
         self.pairs: dict[tuple[str, str], bool] = {}
-        self.output = [self._out(i) for i in range(n)]
+        output = [self._out(i) for i in range(n)]
+        self.output_size = np.array([len(b) for b in output], np.int64)
+        self.output_start = np.cumsum(self.output_size) - self.output_size
+        self.output_bytes = np.frombuffer(b"".join(output), np.uint8)
 
     def _out(self, i: int) -> bytes:
         lib = self.library
@@ -120,7 +127,7 @@ class Codec:
 
     def _fit(self, left: str, right: str) -> bool:
         """Whether ``right`` may follow ``left`` (empty: stand first) in a merge result; remembered."""
-        if len(self.pairs) >= 1_000_000:
+        if len(self.pairs) >= REMEMBERED_PAIRS:
             self.pairs.clear()
         found = self.pairs[left, right] = self._merged(left + right) == ([left, right] if left else [right])
         return found
@@ -199,7 +206,10 @@ class Codec:
             return np.frombuffer(b"".join(map(known.__getitem__, chunks)), "<u4")
         except KeyError:
             if len(known) > REMEMBERED:
+                # frequent chunks come again in this text: they stay
+                kept = {c: known[c] for c in chunks if c in known}
                 known.clear()
+                known.update(kept)
             for chunk in chunks:
                 if chunk not in known:
                     # a very long chunk is not worth remembering, but its bytes are needed once
@@ -212,8 +222,26 @@ class Codec:
 
     def decode(self, ids: np.ndarray) -> str:
         """Text of ids; bytes that are not UTF-8 become U+FFFD, and the mark that encoding puts first goes."""
-        text = b"".join(self.output[i] for i in ids.tolist()).decode("utf-8", "replace")
-        return text[1:] if text[:1] == " " else text
+        return next(self.decode_all([ids]))
+
+    def decode_all(self, lists: list[np.ndarray]) -> Iterator[str]:
+        """The texts of several id arrays, whose bytes are gathered together."""
+        done = 0
+        while done < len(lists):
+            stop, n = done + 1, lists[done].size
+            while stop < len(lists) and n + lists[stop].size <= DECODED:
+                n += lists[stop].size
+                stop += 1
+            own = lists[done:stop]
+            ids = np.concatenate(own).astype(np.int64)
+            size = self.output_size[ids]
+            ends = np.concatenate([[0], np.cumsum(size)])
+            data = self.output_bytes[np.arange(ends[-1]) + np.repeat(self.output_start[ids] - ends[:-1], size)].tobytes()
+            borders = ends[np.concatenate([[0], np.cumsum([x.size for x in own])])]
+            for a, b in zip(borders, borders[1:]):
+                text = data[a:b].decode("utf-8", "replace")
+                yield text[1:] if text[:1] == " " else text
+            done = stop
 
 
 def _codec(path: str) -> Codec:
@@ -255,18 +283,44 @@ def decode_ids(df: DataFrame, model: str, ids_col: str = "ids", out: str = "deco
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(model)
         for batch in batches:
-            texts = [
-                codec.decode(row.values.drop_null().to_numpy(zero_copy_only=False)) if row.is_valid else None for row in batch.column(at)
-            ]
+            none = np.zeros(0, np.int64)
+            rows = [row.values.drop_null().to_numpy(zero_copy_only=False) if row.is_valid else None for row in batch.column(at)]
+            texts = [t if r is not None else None for r, t in zip(rows, codec.decode_all([none if r is None else r for r in rows]))]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, out])
 
     return df.mapInArrow(decode, f"{_carried(df, out)}, `{out}` string")
 
 
+def round_trip_digest(df: DataFrame, model: str, text_col: str = "text") -> DataFrame:
+    """``df`` with ``n_ids``, ``ids_crc32`` and ``decoded_sha256`` in place of the text, in one pass: the same as
+    encoding, decoding and digesting in three, but ids and texts stay in the worker.  Null text gives nulls."""
+    columns = [c for c in df.columns if c != text_col]
+    at = df.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = _codec(model)
+        for whole in batches:
+            for start in range(0, whole.num_rows, 1000):
+                batch = whole.slice(start, 1000)
+                valid = np.asarray(batch.column(at).is_valid())
+                found = [codec.encode(t.as_py()) for t, ok in zip(batch.column(at), valid) if ok]
+                digests = iter([hashlib.sha256(t.encode()).hexdigest() for t in codec.decode_all(found)])
+                sizes, sums = iter([x.size for x in found]), iter([zlib.crc32(x.tobytes()) for x in found])
+                filled = lambda values: [next(values) if ok else None for ok in valid]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        *(batch.column(c) for c in columns),
+                        pa.array(filled(sizes), pa.int64()), pa.array(filled(sums), pa.int64()), pa.array(filled(digests), pa.string()),
+                    ],
+                    [*columns, "n_ids", "ids_crc32", "decoded_sha256"],
+                )
+
+    kinds = "".join(f"`{c}` {t}, " for c, t in df.dtypes if c != text_col)
+    return df.mapInArrow(run, f"{kinds}n_ids long, ids_crc32 long, decoded_sha256 string")
+
+
 def id_digest(df: DataFrame, ids_col: str = "ids") -> DataFrame:
     """``df`` with ``n_ids`` and ``ids_crc32`` (little-endian unsigned 32-bit) in place of the ids; null ids give nulls."""
-    import zlib
-
     columns = [c for c in df.columns if c != ids_col]
     at = df.columns.index(ids_col)
 
