@@ -27,8 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 MARK = "▁"
-#: Chunks, and pairs of pieces, that a Python worker remembers: at most about 40 MB each.
-REMEMBERED, REMEMBERED_PAIRS = 150_000, 150_000
+#: Chunks, and pairs of pieces, that a Python worker remembers: some 250 MB each at most; one stage of a query has them.
+REMEMBERED, REMEMBERED_PAIRS = 1_000_000, 1_000_000
 #: Ids whose texts are put together at once.
 DECODED = 1 << 18
 _UNIGRAM, _BPE = 1, 2
