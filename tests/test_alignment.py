@@ -8,7 +8,7 @@ from conftest import rows
 from pyspark.sql import functions as F
 from test_metrics import random_topics, topic_table
 
-from topicflow.functions.assignment import assign
+from topicflow.functions.assignment import assign, auction
 from topicflow.operators import alignment as al
 
 
@@ -61,3 +61,43 @@ def test_tracks_undo_planted_permutations(spark, slices):
     heads = aligned.groupBy("slice_id", "track_id").agg(F.max_by("term_id", "p").alias("t"))
     for s, k, t in rows(heads):
         assert t == cubes[0][k].argmax()
+
+
+@pytest.mark.parametrize("ties", [False, True])
+def test_auction_finds_the_total_of_the_solver(ties):
+    rng = np.random.default_rng(2)
+    for n in (1, 2, 7, 40):
+        cost = rng.integers(0, 5, (n, n)).astype(float) if ties else rng.random((n, n))
+        chosen, price = auction(cost, np.tile(np.arange(n), (n, 1)), n, 1e-10)
+        assert sorted(chosen) == list(range(n))
+        at = np.arange(n)
+        assert cost[at, chosen].sum() == pytest.approx(cost[at, assign(cost)].sum(), abs=1e-8)
+        assert ((cost + price).min(axis=1) >= cost[at, chosen] + price[chosen] - 1e-9).all()
+
+
+def _cost_table(spark, matrices):
+    rows_ = [(s, int(i) + 3, int(j) + 10, float(v)) for s, c in enumerate(matrices) for (i, j), v in np.ndenumerate(c)]
+    return spark.createDataFrame(rows_, "slice_id int, src_topic int, tgt_topic int, cost double")
+
+
+def test_large_problems_equal_the_solver(spark, monkeypatch):
+    monkeypatch.setattr(al, "DENSE_CELLS", 5000)
+    rng = np.random.default_rng(8)
+    crowded = rng.random((200, 200)) + np.arange(200)[None, :]  # all sources want the same few targets
+    matrices = [rng.random((200, 200)), crowded, rng.random((5, 5))]
+    got = {}
+    for s, i, j in rows(al.topic_assignment(_cost_table(spark, matrices))):
+        got.setdefault(s, {})[i - 3] = j - 10
+    for s, c in enumerate(matrices):
+        n = len(c)
+        mine = np.array([got[s][i] for i in range(n)])
+        assert sorted(mine) == list(range(n))
+        assert c[np.arange(n), mine].sum() == pytest.approx(c[np.arange(n), assign(c)].sum(), rel=1e-8)
+
+
+def test_large_problems_must_be_complete(spark, monkeypatch):
+    monkeypatch.setattr(al, "DENSE_CELLS", 1)
+    with pytest.raises(ValueError, match="every pair"):
+        al.topic_assignment(_cost_table(spark, [np.ones((3, 4))]))
+    flat = rows(al.topic_assignment(_cost_table(spark, [np.ones((6, 6))])))
+    assert sorted(j for _, _, j in flat) == list(range(10, 16))

@@ -47,3 +47,45 @@ def assign(cost: np.ndarray) -> np.ndarray:
     taken = owner >= 0
     result[owner[taken]] = np.flatnonzero(taken)
     return result
+
+
+def auction(cost: np.ndarray, target: np.ndarray, n_targets: int, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Target of each of ``n`` sources that know a few targets each, and the targets' final prices.
+
+    ``cost`` and ``target`` are ``n x w``, padded with infinite costs; some complete match must be among the cells.  All
+    sources without a target bid at once for the one that is cheapest with its price, by as much as it beats their
+    second choice, plus a step; the highest bid has it.  Steps shrink from the range of costs to ``least``, each phase
+    starting from the prices of the one before.  The total is within ``n * least`` of the best.
+    """
+    n = len(cost)
+    finite = cost[np.isfinite(cost)]
+    span = finite.max() - finite.min()
+    price = np.zeros(n_targets)
+    step = max(span / 4, least)
+    while True:
+        owner = np.full(n_targets, -1)
+        chosen = np.full(n, -1)
+        free = np.arange(n)
+        while free.size:
+            total = cost[free] + price[target[free]]
+            best = total.argmin(axis=1)
+            row = np.arange(free.size)
+            low = total[row, best]
+            total[row, best] = np.inf
+            # a source that knows one target only outbids by the whole range
+            ahead = np.minimum(total.min(axis=1) - low, n * span + step)
+            wanted = target[free, best]
+            bid = price[wanted] + ahead + step
+            order = np.lexsort((bid, wanted))
+            wins = order[np.append(wanted[order][1:] != wanted[order][:-1], True)]
+            sold, buyer = wanted[wins], free[wins]
+            before = owner[sold]
+            before = before[before >= 0]
+            chosen[before] = -1
+            owner[sold], price[sold], chosen[buyer] = buyer, bid[wins], sold
+            lost = np.ones(free.size, bool)
+            lost[wins] = False
+            free = np.concatenate([free[lost], before])
+        if step <= least:
+            return chosen, price
+        step = max(step / 5, least)
