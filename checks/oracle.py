@@ -510,3 +510,26 @@ ends AS (
 FROM words JOIN docs USING (slice_id) JOIN cells USING (slice_id) JOIN ends USING (slice_id)""",
     ),
 }
+
+# transport between the even and the odd vectors of each label, over lists of any length
+ORACLE["embedding_transport"] = """
+WITH RECURSIVE vec AS (SELECT vec_id, label AS problem, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+kernel AS MATERIALIZED (
+  SELECT problem, i, j, c, exp(-c / 0.5) + 1e-16 AS k,
+         dense_rank() OVER (PARTITION BY problem ORDER BY i) AS x, dense_rank() OVER (PARTITION BY problem ORDER BY j) AS y
+  FROM (SELECT a.problem, a.vec_id AS i, b.vec_id AS j, list_distance(a.e, b.e) AS c
+        FROM vec a JOIN vec b ON a.problem = b.problem WHERE a.vec_id % 2 = 0 AND b.vec_id % 2 = 1)),
+by_row AS (SELECT problem, list(r ORDER BY i) AS m
+           FROM (SELECT problem, i, list(k ORDER BY j) AS r FROM kernel GROUP BY problem, i) GROUP BY problem),
+by_col AS (SELECT problem, list(r ORDER BY j) AS m
+           FROM (SELECT problem, j, list(k ORDER BY i) AS r FROM kernel GROUP BY problem, j) GROUP BY problem),
+prob AS MATERIALIZED (SELECT r.problem, r.m AS rows, c.m AS cols FROM by_row r JOIN by_col c USING (problem)),
+sink AS (
+  SELECT problem, 0 AS it, list_transform(rows, lambda r: 1.0::DOUBLE) AS u, list_transform(cols, lambda r: 1.0::DOUBLE) AS v,
+         'inf'::DOUBLE AS moved FROM prob
+  UNION ALL
+  SELECT problem, it + 1, u2, list_transform(cols, lambda c: 1.0 / len(cols) / list_dot_product(c, u2)), list_distance(u, u2)
+  FROM (SELECT s.problem, it, cols, u, list_transform(rows, lambda r: 1.0 / len(rows) / list_dot_product(r, v)) AS u2
+        FROM sink s JOIN prob p ON p.problem = s.problem WHERE it < 200 AND NOT moved < 1e-9))
+SELECT k.problem, k.i, k.j, round(k.c, 6) AS c, round(s.u[k.x] * s.v[k.y] * k.k, 9) AS gamma
+FROM kernel k JOIN (SELECT problem, arg_max(u, it) AS u, arg_max(v, it) AS v FROM sink GROUP BY problem) s ON s.problem = k.problem"""
