@@ -25,6 +25,8 @@ from topicflow.llm import words
 #: Hashed 2-grams and 3-grams.
 BINS = (1 << 10, 1 << 12)
 WIDTH = sum(BINS)
+#: Texts whose features a task holds at once: some 30 MB with what counting them takes.
+ROWS = 400
 UNKNOWN = "und"
 
 # ASCII without letters counts as one kind of gap; bytes of other characters stay
@@ -159,8 +161,8 @@ def predict_languages(
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
         for whole in batches:
-            for start in range(0, whole.num_rows, 2000):
-                batch = whole.slice(start, 2000)
+            for start in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(start, ROWS)
                 text = batch.column(at)
                 n = batch.num_rows
                 letter = pc.fill_null(pc.match_substring_regex(text, r"\p{L}"), False).to_numpy(zero_copy_only=False)

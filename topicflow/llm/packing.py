@@ -29,8 +29,8 @@ from pyspark.sql import Window as W
 from topicflow.llm.batches import small_batches
 from topicflow.scratch import Scratch
 
-#: Different words whose ids a Python worker remembers: at most about 60 MB.
-REMEMBERED = 400_000
+#: Different words whose ids a Python worker remembers: at most about 120 MB.
+REMEMBERED = 800_000
 SALTS = 64
 _tokenizers: dict = {}
 
