@@ -231,6 +231,15 @@ def test_pipeline_with_one_slice(spark):
     assert row["evolution_smoothness"] == 0.0 and row["avg_alignment"] is None
 
 
+def test_pipeline_sliced_by_time(spark):
+    corpus = word_corpus(spark, 90).withColumn("day", F.expr("timestamp'2024-01-01' + make_dt_interval(doc_id div 30 * 40)"))
+    out = run(spark, corpus, Config(n_topics=2, max_features=50, max_iter=2, stop_words=(), time_col="day", time_width="10 days"))
+    row = out.result.first()
+    assert row["n_slices"] == 3 and row["avg_perplexity"] > 0 and row["avg_alignment"] is not None
+    sizes = {r["slice_id"]: r["count"] for r in out.packed.groupBy("slice_id").count().collect()}
+    assert sizes == {0: 30, 1: 30, 2: 30}
+
+
 def test_pipeline_rejects_bad_settings(spark):
     corpus = word_corpus(spark, 5)
     with pytest.raises(ValueError, match="at least 1"):
