@@ -155,6 +155,20 @@ def test_near_pairs_are_judged_in_their_first_common_region(tree, found):
     assert links == ([{"a": 10, "b": 20}] if found else [])
 
 
+def test_near_sets_and_candidates():
+    texts = ["A b c d e f", "a b c d e f", "a b c d e g", None, "x", " one Two "]
+    sets = near_dedup._sets(pa.array(texts), 4)
+    assert [s.size for s in sets] == [3, 3, 3, 0, 1, 1]
+    assert near_dedup._similar(sets[0], sets[1], 80) and not near_dedup._similar(sets[0], sets[2], 80) and near_dedup._similar(sets[0], sets[2], 50)
+    sig = np.zeros((3, near_dedup.SIGNATURE), np.uint8)
+    sig[2] = 1
+    block = pa.table({
+        "id": [1, 2, 3], "tree": [0] * 3, "sig": [x.tobytes() for x in sig], "keys": pa.array([[0] * near_dedup.TREES] * 3, pa.list_(pa.int64())),
+        "comp": [1, 2, 3], "minor": [True, False, False],
+    })
+    assert near_dedup._candidates(near_dedup._least_agreement(0.8))(block)["id"].to_pylist() == [1, 2]
+
+
 def test_near_edges(spark):
     assert near_duplicates(table(spark, [])).count() == 0
     out = near_duplicates(table(spark, [(None, "a b c d e"), (1, "a b c d e"), (2, None)])).collect()

@@ -13,11 +13,12 @@ depth 6 with probability (1 - 0.8^6)^48 < 5e-7.
   0.8), the rest is confirmed on the full sets.  Best pairs come first, and their
   links give components.
 * What is left are pairs between different components.  Small regions have listed them; in
-  larger ones every document outside the region's main component meets all members, in blocks with their
-  texts, so a hot region is spread over many tasks, no pair inside a component is made, and a block gives back
-  links between components only.
+  larger ones every document outside the region's main component meets all members, in blocks, so a hot region is
+  spread over many tasks and no pair inside a component is made.  Signatures meet first; texts are sent only for
+  the members of a block that have a candidate there, and a block gives back links between components only.
 
-The forest finds candidates; only links confirmed on full sets count.
+A document's trees travel as one row until they are grouped by region.  The forest finds candidates; only links
+confirmed on full sets count.  Sets are compared as sorted 64-bit hashes, the same that give their sizes.
 """
 
 from __future__ import annotations
@@ -26,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -39,6 +41,10 @@ TREES, DEPTH = 48, 6
 SIGNATURE = TREES * DEPTH
 #: Members up to which a region lists all its pairs, and of a block of a larger one.
 SMALL, BLOCK = 12, 1024
+#: Shingles of the members of a block: 8 MB of hashes.
+WEIGHT = 1 << 20
+#: Bytes of text whose pairs are confirmed at a time (a longer pair is confirmed alone).
+CONFIRMED = 16 << 20
 #: Standard deviations of the estimate below the threshold that still count as candidates.
 SIGMAS = 4.7
 
@@ -162,43 +168,58 @@ def _neighbours(least: float, near: int = 8, best: int = 2):
     return solve
 
 
+def _met(table: pa.Table, least: float) -> Iterator[tuple[int, np.ndarray]]:
+    """A block's minor members with their candidates in other components, the most similar first.
+
+    A pair meets in the first tree whose region holds both, by the keys that make the regions: the signature's bytes
+    may agree where the minima do not.
+    """
+    sig, comp, tree = _sigs(table), table["comp"].to_numpy(), table["tree"][0].as_py()
+    minor = np.array(table["minor"].to_pylist(), bool)
+    rest = np.flatnonzero(~minor)
+    keys = table["keys"].combine_chunks().flatten().to_numpy().reshape(-1, TREES)
+    for i in np.flatnonzero(minor):
+        got = _agreement(sig[i], sig[rest])
+        near = (got >= least) & (comp[rest] != comp[i])
+        hit = rest[near][np.argsort(-got[near], kind="stable")]
+        if hit.size:
+            yield int(i), hit[(keys[hit] == keys[i]).argmax(axis=1) == tree]
+
+
+def _candidates(least: float):
+    """The members of a block that have a candidate in it."""
+
+    def solve(table: pa.Table) -> pa.Table:
+        needed = np.zeros(table.num_rows, bool)
+        for i, hit in _met(table, least):
+            needed[hit] = True
+            needed[i] |= hit.size > 0
+        return table.filter(pa.array(needed))
+
+    return solve
+
+
 def _across(least: float, size: int, percent: int):
     """Confirmed links of a block's minor members with members of other components, one for each two components.
 
-    A pair is judged in the first tree whose region holds both, by the keys that make the regions: the signature's bytes
-    may agree where the minima do not.  The most similar come first, and only while nothing found in the block
-    connects the two.
+    The most similar come first, and only while nothing found in the block connects the two.
     """
 
     def solve(table: pa.Table) -> pa.Table:
-        ids, sig, comp, tree = table["id"].to_numpy(), _sigs(table), table["comp"].to_numpy(), table["tree"][0].as_py()
-        text = table["text"].combine_chunks().cast(pa.large_string()).cast(pa.large_binary())
-        minor = np.array(table["minor"].to_pylist(), bool)
-        rest = np.flatnonzero(~minor)
-        keys = table["keys"].combine_chunks().flatten().to_numpy().reshape(-1, TREES)
+        ids, comp = table["id"].to_numpy(), table["comp"].to_numpy()
+        sets = _sets(table["text"], size)
         root: dict[int, int] = {}
-        sets: dict[int, set] = {}
 
         def find(x: int) -> int:
             while root.setdefault(x, x) != x:
                 x = root[x] = root[root[x]]
             return x
 
-        def known(i: int) -> set:
-            if i not in sets:
-                sets[i] = _set(text[i].as_py(), size)
-            return sets[i]
-
         a, b = [], []
-        for i in np.flatnonzero(minor):
-            got = _agreement(sig[i], sig[rest])
-            near = (got >= least) & (comp[rest] != comp[i])
-            hit = rest[near][np.argsort(-got[near], kind="stable")]
-            if hit.size:
-                hit = hit[(keys[hit] == keys[i]).argmax(axis=1) == tree]
+        for i, hit in _met(table, least):
             for j in hit.tolist():
                 x, y = find(int(comp[i])), find(int(comp[j]))
-                if x != y and _similar(known(i), known(j), percent):
+                if x != y and _similar(sets[i], sets[j], percent):
                     root[x] = y
                     a.append(min(ids[i], ids[j]))
                     b.append(max(ids[i], ids[j]))
@@ -207,35 +228,34 @@ def _across(least: float, size: int, percent: int):
     return solve
 
 
-def _set(text: bytes, size: int) -> set:
-    w = text.lower().split()
-    return set(zip(*(w[k:] for k in range(size)))) if len(w) >= size else {tuple(w)} if w else set()
+def _sets(texts: pa.Array, size: int) -> list[np.ndarray]:
+    """Each text's distinct shingles as sorted hashes."""
+    out = []
+    for _, data, offsets in words.pieces(texts):
+        owner, value = _shingles(data, offsets, size)
+        out += np.split(value, np.searchsorted(owner, np.arange(1, offsets.size - 1)))
+    return out
 
 
-def _similar(one: set, two: set, percent: int) -> bool:
-    common = len(one & two)
-    return 100 * common >= percent * (len(one) + len(two) - common)
+def _similar(one: np.ndarray, two: np.ndarray, percent: int) -> bool:
+    if 100 * min(one.size, two.size) < percent * max(one.size, two.size):
+        return False
+    common = np.intersect1d(one, two, assume_unique=True).size
+    return 100 * common >= percent * (one.size + two.size - common)
 
 
 def _confirm(batches: Iterator[pa.RecordBatch], size: int, percent: int) -> Iterator[pa.RecordBatch]:
-    last: dict = {}
-
-    def known(doc: int, text: pa.Scalar) -> set:
-        """The document's set; those of a few documents are remembered, since pairs of one come together."""
-        if doc not in last:
-            if len(last) >= 16:
-                last.pop(next(iter(last)))
-            last[doc] = _set(text.as_py(), size)
-        return last[doc]
-
     for batch in batches:
-        a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
-        ta, tb = (batch.column(c).cast(pa.binary()) for c in ("ta", "tb"))
-        keep = []
-        for i, (x, y) in enumerate(zip(a, b)):
-            keep.append(_similar(known(x, ta[i]), known(y, tb[i]), percent))
-        keep = pa.array(keep, pa.bool_())
-        yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], ["a", "b"])
+        sizes = sum(np.array(pc.binary_length(batch.column(c)).to_pylist(), np.int64) for c in ("ta", "tb"))
+        before = np.concatenate([[0], np.cumsum(sizes)])
+        row = 0
+        while row < batch.num_rows:
+            stop = max(row + 1, int(np.searchsorted(before, before[row] + CONFIRMED, "right")) - 1)
+            part = batch.slice(row, stop - row)
+            row = stop
+            left, right = _sets(part.column("ta"), size), _sets(part.column("tb"), size)
+            keep = pa.array([_similar(x, y, percent) for x, y in zip(left, right)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([part.column("a").filter(keep), part.column("b").filter(keep)], ["a", "b"])
 
 
 def _texts(ids: DataFrame, docs: DataFrame, scratch: Scratch, name: str) -> DataFrame:
@@ -300,7 +320,15 @@ def near_duplicates(
     small = scratch.save(with_sigs.mapInArrow(lambda it: _estimate(it, least), "a long, b long, share double"), "small")
 
     # larger ones: neighbours in the tree's order, at a depth at which they fit a block
-    large = scratch.save(shared.filter(f"count > {SMALL}").join(sig, "id"), "large")
+    trees = shared.filter(f"count > {SMALL}").groupBy("id").agg(F.collect_list("tree").alias("trees"))  # at most TREES
+    hubs = scratch.save(reps.select("id", "n_shingles", "sig", "keys").join(trees, "id"), "hubs")
+
+    def by_tree(docs: DataFrame, *columns: str) -> DataFrame:
+        """A row per document and larger region."""
+        one = docs.withColumn("tree", F.explode("trees"))
+        return one.withColumn("key", F.expr("element_at(keys, tree + 1)")).select("key", "tree", *columns)
+
+    large = scratch.save(by_tree(hubs, "id", "sig"), "large")
     deeper = large.withColumn("k", F.col("key"))
     for step in (2, 4):
         start = f"pmod(tree * {DEPTH} + {DEPTH}, {SIGNATURE}) + 1"
@@ -325,27 +353,39 @@ def near_duplicates(
         found = comps.select(F.col("node").alias(key), F.col("component").alias(out))
         return df.join(found, key, "left").withColumn(out, F.coalesce(out, key))
 
+    scratch.forget(large)
     rest = labelled(labelled(ranked.filter("nth > 2").select("a", "b"), "a", "ca"), "b", "cb").filter("ca <> cb").select("a", "b")
-    members = scratch.save(labelled(large, "id", "comp"), "members")
+    links2 = _links(scratch.save(rest, "rest"), texts, shingle, percent, scratch, "second")
+    links = links1.union(links2)
+    comps = components(links, scratch)
+
+    members = by_tree(scratch.save(labelled(hubs, "id", "comp"), "labelled"), "id", "comp", "sig", "keys", "n_shingles")
     main = (
-        members.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"))
-        .groupBy("key").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.sum("n").alias("n"), F.max("n").alias("top"))
-        .filter("top < n")
-        .select("key", "main", F.expr(f"(n + {BLOCK - 1}) div {BLOCK}").alias("nj"), F.expr(f"(n - top + {BLOCK - 1}) div {BLOCK}").alias("ni"))
+        members.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("w"))
+        .groupBy("key").agg(
+            F.max_by("comp", F.struct("n", "comp")).alias("main"), F.max(F.struct("n", "comp", "w")).alias("top"),
+            F.sum("n").alias("n"), F.sum("w").alias("w"),
+        )
+        .filter("top.n < n")
+        .select(
+            "key", "main",
+            F.expr(f"greatest((n + {BLOCK - 1}) div {BLOCK}, (w + {WEIGHT - 1}) div {WEIGHT})").alias("nj"),
+            F.expr(f"greatest((n - top.n + {BLOCK - 1}) div {BLOCK}, (w - top.w + {WEIGHT - 1}) div {WEIGHT})").alias("ni"),
+        )
     )
-    mixed = scratch.save(members.join(main, "key").withColumn("salt", F.xxhash64("id")), "mixed")
-    mixed_ids = mixed.select("id").distinct()
-    mixed_keys = _texts(mixed_ids, known.select("id", "keys"), scratch, "mixed-keys")
-    mixed = mixed.join(_texts(mixed_ids, texts, scratch, "mixed"), "id").join(mixed_keys, "id")
-    columns = ["key", "i", "j", "id", "tree", "sig", "keys", "comp", "minor", "text"]
+    mixed = scratch.save(members.drop("n_shingles").join(main, "key").withColumn("salt", F.xxhash64("id")), "mixed")
+    columns = ["key", "i", "j", "id", "tree", "sig", "keys", "comp", "minor"]
     outside = mixed.filter("comp <> main").withColumn("i", F.expr("pmod(salt, ni)")).withColumn("minor", F.lit(True))
     inside = mixed.withColumn("j", F.expr("pmod(salt, nj)")).withColumn("minor", F.lit(False))
     met = outside.withColumn("j", F.explode(F.expr("sequence(0, nj - 1)"))).select(columns).union(
         inside.withColumn("i", F.explode(F.expr("sequence(0, ni - 1)"))).select(columns)
     )
-    across = scratch.save(met.groupBy("key", "i", "j").applyInArrow(_across(least, shingle, percent), "a long, b long"), "across")
-    links2 = _links(scratch.save(rest, "rest"), texts, shingle, percent, scratch, "second")
-    final = components(links1.union(links2).union(across), scratch)
+    needed = scratch.save(met.groupBy("key", "i", "j").applyInArrow(_candidates(least), met.schema), "needed")
+    with_texts = needed.join(_texts(needed.select("id").distinct(), texts, scratch, "needed"), "id")
+    across = scratch.save(
+        with_texts.groupBy("key", "i", "j").applyInArrow(_across(least, shingle, percent), "a long, b long"), "across"
+    )
+    final = components(links.union(across), scratch) if across.take(1) else comps
 
     result = (
         signed.select("id", "n_shingles", "e1", "e2")
@@ -354,5 +394,5 @@ def near_duplicates(
         .select("id", "n_shingles", F.when(F.col("id").isNotNull(), F.coalesce("component", "rep", "id")).alias("component_id"))
     )
     out = scratch.save(result.withColumn("kept", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True))), "result")
-    scratch.forget(signed, shared, large, ranked, members)
+    scratch.forget(signed, shared, hubs, ranked, mixed, needed)
     return out.withColumnRenamed("id", id_col)
