@@ -214,6 +214,41 @@ def test_marginals_equal_enumeration():
         assert np.allclose(marked / total, p[a:b])
 
 
+def chain_log_sum(x, first, move):
+    """Logarithm of the sum over all state sequences, text by text."""
+    total = 0.0
+    for a, b in zip(first[:-1], first[1:]):
+        v = np.array([1.0, 0.0])
+        for potential in x[a:b]:
+            v = (v @ move) * (1, potential)
+            total += np.log(v.sum())
+            v /= v.sum()
+    return total
+
+
+def test_expected_moves_are_the_slope_of_the_log_sum():
+    """Also across blocks, and for texts without tokens; a difference of the function's values gives the same."""
+    rng = np.random.default_rng(2)
+    move = rng.normal(size=(2, 2))
+    first = np.array([0, 7, 7, 150, 151])
+    x = np.exp(rng.normal(size=151))
+    moves = np.zeros((2, 2))
+    toxicity.marginals(x, first, np.exp(move), moves)
+    assert np.isclose(moves.sum(), 151)
+    for a, b in itertools.product((0, 1), repeat=2):
+        step = np.zeros((2, 2))
+        step[a, b] = 1e-5
+        slope = (chain_log_sum(x, first, np.exp(move + step)) - chain_log_sum(x, first, np.exp(move - step))) / 2e-5
+        assert np.isclose(moves[a, b], slope, rtol=1e-6)
+
+
+def test_toxicity_sample_is_bounded_in_bytes(spark):
+    docs = spark.createDataFrame([(k, f"word{k} " * 50 + ("vile" if k % 2 else "kind")) for k in range(40)], "doc_id long, text string")
+    labels = docs.selectExpr("doc_id", "doc_id % 2 as toxic")
+    assert toxicity.fit_toxicity(docs, labels, "doc_id", "text", "toxic", max_bytes=3000) is not None
+    assert toxicity.fit_toxicity(docs, labels, "doc_id", "text", "toxic", max_bytes=100) is None
+
+
 def test_marginals_across_blocks():
     rng = np.random.default_rng(1)
     move = np.array([[1.0, 0.2], [0.7, 1.5]])

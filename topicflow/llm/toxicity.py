@@ -149,8 +149,11 @@ def _step(v: np.ndarray, x: np.ndarray, move: np.ndarray) -> np.ndarray:
     return np.where(keep[..., None], v, w)
 
 
-def marginals(x: np.ndarray, first: np.ndarray, move: np.ndarray) -> np.ndarray:
-    """Marginal of the toxic state per token; each text starts after a clean state."""
+def marginals(x: np.ndarray, first: np.ndarray, move: np.ndarray, moves: np.ndarray | None = None) -> np.ndarray:
+    """Marginal of the toxic state per token; each text starts after a clean state.
+
+    To ``moves``, if given, the expected numbers of moves from each state (row) to each (column) are added.
+    """
     if not x.size:
         return np.zeros(0)
     grid, owner, at = _grid(x, first)
@@ -185,6 +188,10 @@ def marginals(x: np.ndarray, first: np.ndarray, move: np.ndarray) -> np.ndarray:
         xk = grid[:, k]
         w = v.copy()
         w[:, 1] *= np.abs(xk)
+        if moves is not None:
+            before = forward[:, k - 1] if k else enter
+            joint = (before[:, :, None] * move * w[:, None, :])[xk >= 0]
+            moves += (joint / joint.sum(axis=(1, 2), keepdims=True)).sum(axis=0)
         v = np.where((xk < 0)[:, None], v, _normal(w @ move.T))
     return toxic.ravel()[at]
 
@@ -202,17 +209,11 @@ def _fit_chain(slots: np.ndarray, labels: np.ndarray, first: np.ndarray, rounds:
     np.add.at(seen, (before, labels), 1)
     for k in range(1, rounds + 1):
         x = np.exp(np.clip(weight[slots].sum(axis=1) + bias, -30, 30))
-        p = marginals(x, first, np.exp(move))
+        moves = np.zeros((2, 2))
+        p = marginals(x, first, np.exp(move), moves)
         gap = p - labels
         slope = np.bincount(slots.ravel(), np.repeat(gap, slots.shape[1]), 1 << BITS) + ridge * labels.size / 1000 * weight
-        # expected moves, with neighbours' marginals combined as in the chain
-        q = np.zeros(labels.size)
-        q[1:] = p[:-1]
-        q[~inner] = 0
-        m = np.exp(move)
-        joint = np.stack([np.stack([(1 - q) * (1 - p) * m[0, 0], (1 - q) * p * m[0, 1]]), np.stack([q * (1 - p) * m[1, 0], q * p * m[1, 1]])])
-        joint /= joint.sum(axis=(0, 1), keepdims=True)
-        small = np.append((joint.sum(axis=2) - seen).ravel() + ridge * labels.size * move.ravel(), gap.sum())
+        small = np.append((moves - seen).ravel() + ridge * labels.size * move.ravel(), gap.sum())
         scale = 1 / max(1, labels.sum())
         for slot, g, rate in ((0, slope * scale, 0.15), (2, small * scale, 0.05)):
             moments[slot] = 0.9 * moments[slot] + 0.1 * g
@@ -273,21 +274,29 @@ def fit_chain(texts: list[bytes], toxic: np.ndarray) -> Chain | None:
     return chain
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, per_label: int = 800) -> Chain | None:
-    """A chain from at most ``per_label`` different texts of either label; null labels and texts are left out."""
+def fit_toxicity(
+    docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, per_label: int = 800, max_bytes: int = 32 << 20
+) -> Chain | None:
+    """A chain from at most ``per_label`` different texts of either label; null labels and texts are left out.
+
+    Ids are taken in the order of their hashes, and texts as long as those before them in that order and they
+    themselves have at most ``max_bytes`` bytes for the label.
+    """
     known = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).alias("y"))
-    order = W.partitionBy("y").orderBy(F.xxhash64("id"), "id")
-    # twice as many ids, since copies of a text count once; a bounded table, so it is broadcast
-    picked = known.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= 2 * per_label)
-    rows = docs.filter(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(picked), "id")
-    once = rows.groupBy("text").agg(F.max("y").alias("y"), F.min("nth").alias("nth"))
-    got = sorted((r["nth"], r["y"], r["text"]) for r in once.collect())
-    texts, toxic = [], []
-    for y in (0, 1):
-        mine = [t for _, z, t in got if (z != 0) == (y != 0)][:per_label]
-        texts += [t.encode() for t in mine]
-        toxic += [y] * len(mine)
-    return fit_chain(texts, np.array(toxic)) if texts else None
+    known = known.select("id", (F.col("y") != 0).cast("int").alias("y"), F.xxhash64("id").alias("hash"))
+    # twice as many ids, since copies of a text count once; the first of each label are merged from the tasks' first ones
+    first = [known.filter(F.col("y") == y).orderBy("hash", "id").limit(2 * per_label) for y in (0, 1)]
+    picked = F.broadcast(first[0].union(first[1]))
+    rows = docs.filter(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(picked, "id")
+    once = rows.groupBy("text").agg(F.max("y").alias("y"), F.min(F.struct("hash", "id")).alias("nth"))
+    before = W.partitionBy("y").orderBy("nth").rowsBetween(W.unboundedPreceding, 0)
+    bounded = (
+        once.filter(F.octet_length("text") <= max_bytes)
+        .withColumn("n", F.count(F.lit(1)).over(before)).withColumn("bytes", F.sum(F.octet_length("text")).over(before))
+        .filter((F.col("n") <= per_label) & (F.col("bytes") <= max_bytes))
+    )
+    got = sorted((r["y"], r["n"], r["text"]) for r in bounded.select("y", "n", "text").collect())
+    return fit_chain([t.encode() for _, _, t in got], np.array([y for y, _, _ in got])) if got else None
 
 
 def score_toxicity(docs: DataFrame, chain: Chain | None, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
