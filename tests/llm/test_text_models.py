@@ -99,7 +99,7 @@ def test_plan_keeps_every_capacity(rule):
     rng = np.random.default_rng(3)
     lengths = rng.integers(1, 65, 3000)
     counts = {int(k): int(n) for k, n in zip(*np.unique(lengths, return_counts=True))}
-    for capacity in (Capacity(64, 64, 64 * 64), Capacity(64, 3, 64 * 64), Capacity(64, 64, 1500 if False else 4096), Capacity(100, 5, 5000)):
+    for capacity in (Capacity(64, 64, 64 * 64), Capacity(64, 3, 64 * 64), Capacity(64, 64, 4096), Capacity(100, 5, 5000)):
         made = plan(counts, capacity, rule)
         ranks = {}
         for length, rank, n, _, _ in made:
@@ -119,6 +119,67 @@ def test_plan_keeps_every_capacity(rule):
     assert plan({}, Capacity()) == []
 
 
+def best_by_full_search(counts, capacity, rule, weights):
+    """Piece by piece, longest first: the sequence of the best score of all, of equal ones the fullest."""
+    limits = (capacity.tokens, capacity.documents, capacity.attention)
+    used, out = [], []
+    for length in sorted(counts, reverse=True):
+        need = capacity.needs(length)
+        for _ in range(counts[length]):
+            best = None
+            for k, state in enumerate(used):
+                after = [u + x for u, x in zip(state, (length, 1, length * length))]
+                if any(x > limit for x, limit in zip(after, limits)):
+                    continue
+                left = [1 - x / limit for x, limit in zip(after, limits)]
+                score = sum(w * (n * x if rule == "dot" else x * x) for w, n, x in zip(weights, need, left))
+                if best is None or score < best[0] - 1e-12:
+                    best = score, k, after
+            if best is None:
+                used.append([length, 1, length * length])
+                out.append(0.0)
+            else:
+                used[best[1]] = best[2]
+                out.append(best[0])
+    return len(used), out
+
+
+@pytest.mark.parametrize("rule", ["dot", "norm"])
+@pytest.mark.parametrize("capacity", [Capacity(60, 3, 2600), Capacity(60, 60, 1400), Capacity(60, 4, 3600)])
+def test_plan_takes_the_best_of_all_states(rule, capacity):
+    """With capacities that bind, and weights under which the fullest sequences in tokens are not the best ones."""
+    rng = np.random.default_rng(11)
+    lengths = rng.integers(1, 38, 400)
+    counts = {int(k): int(n) for k, n in zip(*np.unique(lengths, return_counts=True))}
+    weights = (0.05, 1.0, 1.0)
+    limits = (capacity.tokens, capacity.documents, capacity.attention)
+    used, scores, groups = {}, [], []
+    for length, _, n, first, offset in plan(counts, capacity, rule, weights):
+        if groups and offset and groups[-1][:3] == (length, n, first):
+            groups[-1] = (length, n, first, groups[-1][3] + 1)  # new sequences, filled one after the other
+        else:
+            groups.append((length, n, first, 1))
+    for length, n, first, times in groups:
+        need = capacity.needs(length)
+        for k in (k for k in range(first, first + n) for _ in range(times)):
+            after = [u + x for u, x in zip(used.get(k, (0, 0, 0)), (length, 1, length * length))]
+            state = [1 - x / limit for x, limit in zip(after, limits)]
+            # among the sequences open before this range, none that has room scores better
+            mine = sum(w * (m * x if rule == "dot" else x * x) for w, m, x in zip(weights, need, state))
+            if k in used:
+                for other in used.values():
+                    to = [u + x for u, x in zip(other, (length, 1, length * length))]
+                    if all(x <= limit for x, limit in zip(to, limits)):
+                        rest = [1 - x / limit for x, limit in zip(to, limits)]
+                        assert mine <= sum(w * (m * x if rule == "dot" else x * x) for w, m, x in zip(weights, need, rest)) + 1e-12
+            used[k] = after
+            scores.append(mine)
+    assert len(scores) == 400
+    assert abs(len(used) - best_by_full_search(counts, capacity, rule, weights)[0]) <= 2
+    with pytest.raises(ValueError):
+        plan(counts, capacity, rule, (1.0, -0.1, 0.0))
+
+
 def test_packing(spark):
     from tokenizers import Tokenizer
 

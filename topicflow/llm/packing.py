@@ -18,7 +18,6 @@ import zlib
 from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -93,14 +92,16 @@ def plan(
     capacity: Capacity,
     rule: str = "dot",
     weights: tuple[float, ...] = (1.0, 0.05, 0.05),
-    candidates: int = 16,
 ) -> list[tuple[int, int, int, int, int]]:
     """``(length, first rank, how many, first sequence, offset)`` for every length and range of its pieces.
 
     Longer pieces go first.  Open sequences in one state (tokens, documents and attention used) are ranges of numbers.
-    Of the states that a piece fits under every capacity, the ``candidates`` fullest in tokens are compared by the rule.
-    A length beyond any capacity raises ``ValueError``.
+    Of all states that a piece fits under every capacity the best by the rule is taken, of equal ones the fullest in tokens.
+    No part of a score is negative, so states are left out whose share of tokens alone is no better than the best score.
+    A length beyond any capacity and a negative weight raise ``ValueError``.
     """
+    if min(weights) < 0:
+        raise ValueError("weights must not be negative")
     limits = (capacity.tokens, capacity.documents, capacity.attention)
     opened: dict[int, dict[tuple[int, int], list[tuple[int, int]]]] = {}  # tokens -> (documents, attention) -> ranges
     levels: list[int] = []  # the tokens in use, sorted
@@ -114,28 +115,34 @@ def plan(
             insort(levels, tokens)
         opened[tokens].setdefault((documents, attention), []).append(span)
 
-    def fitting(length: int):
-        """States with room for the piece, the fullest in tokens first."""
+    def best_fit(length: int, square: int) -> tuple[int, int, int] | None:
+        """The state with room for the piece that suits it best."""
+        if rule == "dot":
+            wt, wd, wa = (w * n for w, n in zip(weights, capacity.needs(length)))
+        else:
+            wt, wd, wa = weights
+        found, least = None, float("inf")
         for k in range(bisect_right(levels, limits[0] - length) - 1, -1, -1):
-            for documents, attention in opened[levels[k]]:
-                if documents < limits[1] and attention + length * length <= limits[2]:
-                    yield levels[k], documents, attention
+            tokens = levels[k]
+            left = 1 - (tokens + length) / limits[0]
+            part = wt * (left if rule == "dot" else left * left)
+            if part >= least:
+                break  # emptier sequences only score worse
+            for documents, attention in opened[tokens]:
+                if documents < limits[1] and attention + square <= limits[2]:
+                    d, a = 1 - (documents + 1) / limits[1], 1 - (attention + square) / limits[2]
+                    score = part + (wd * d + wa * a if rule == "dot" else wd * d * d + wa * a * a)
+                    if score < least:
+                        found, least = (tokens, documents, attention), score
+        return found
 
     for length in sorted(counts, reverse=True):
         square = length * length
         if length > limits[0] or limits[1] < 1 or square > limits[2]:
             raise ValueError(f"a piece of {length} tokens passes a capacity")
-        need = capacity.needs(length)
-
-        def score(state: tuple[int, int, int]) -> float:
-            left = [1 - (used + step) / limit for used, step, limit in zip(state, (length, 1, square), limits)]
-            if rule == "dot":
-                return sum(w * n * x for w, n, x in zip(weights, need, left))
-            return sum(w * x * x for w, x in zip(weights, left))
-
         rank, left = 0, counts[length]
         while left:
-            best = min(islice(fitting(length), candidates), key=score, default=None)
+            best = best_fit(length, square)
             if best is None:
                 # new sequences hold as many of this length as fit
                 per = min(limits[0] // length, limits[1], limits[2] // square, left)
