@@ -336,6 +336,7 @@ def near_duplicates(
         deep = F.xxhash64("key", F.expr(f"substring({twice}, {start}, {step})"))
         counts = deeper.groupBy("k").count().select("k", F.col("count").alias("now"))
         deeper = deeper.join(counts, "k").withColumn("k", F.when(F.col("now") > BLOCK, deep).otherwise(F.col("k"))).drop("now")
+        deeper = scratch.save(deeper, "deeper")
     counts = deeper.groupBy("k").count().select("k", F.expr(f"(count + {BLOCK - 1}) div {BLOCK}").alias("blocks"))
     blocked = deeper.join(counts, "k").select("k", F.expr("pmod(xxhash64(id), blocks)").alias("block"), "id", "tree", "sig")
     near = blocked.groupBy("k", "block").applyInArrow(_neighbours(least), "a long, b long, share double")
