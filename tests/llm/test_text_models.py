@@ -7,10 +7,11 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+from tokenizers import Tokenizer
 
 from topicflow.llm import toxicity
 from topicflow.llm.language_id import UNKNOWN, codewords, fit_languages, predict_languages
-from topicflow.llm.packing import Capacity, pack, plan
+from topicflow.llm.packing import Capacity, encode_words, pack, plan
 from topicflow.llm.queries import op1_sentencepiece, op5_best_fit_packing, op8_toxicity, op10_language_id
 from topicflow.llm.sentencepiece_codec import Codec, decode_ids, encode_texts, id_digest, round_trip_digest
 from topicflow.session import ship_package
@@ -85,6 +86,18 @@ def test_codec_on_tables(spark):
     assert op1_sentencepiece(spark, SF).filter("n_ids > 0").count() == 200
 
 
+def test_words_encoded_once_equal_the_plain_call():
+    """Every ASCII mark beside letters and digits, contractions, capitals with accents, special tokens in any case."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    marks = [chr(c) for c in range(33, 127)] + ["\u2026", "\u201d", "\u0301", "\u0307", "\u00e9", "\u00c9", "\u0130", "\u2126"]
+    texts = [f"{a}{m}{b}{e}" for m in marks for a in ("Ab", "I", "7", "it's", "\u00d1", "") for b in ("", "S", "'ll", m) for e in ("", ".", ",;", "'s!", "?:")]
+    texts += ["x <|ENDOFTEXT|> Y", "a<|endoftext|>. B", "<|startoftext|>Hi!", "It'S, it's. IT'LL?", "''..", "...", "e.g., U.S.A.", "a\u00a0B, c\u2003D."]
+    plain = Tokenizer.from_file(path)
+    for part in ([" ".join(texts)], texts, list(reversed(texts))):
+        got = encode_words(path, [t.encode() for t in part])
+        assert [g.tolist() for g in got] == [plain.encode(t, add_special_tokens=False).ids for t in part]
+
+
 def filled(made):
     """Sequences of a plan as lists of (offset, length)."""
     out = {}

@@ -44,26 +44,45 @@ def _encoder(path: str):
     return _tokenizers[path]
 
 
-def _remember(tokenizer, known: dict[bytes, bytes], new: list[bytes]) -> None:
-    """Encode new words as one text and tell their ids apart by where they lie in it."""
-    split = [w.decode() for w in new]
-    starts = np.cumsum([0] + [len(w) + 1 for w in split[:-1]])
-    code = tokenizer.encode(" ".join(split), add_special_tokens=False)
-    ids = np.array(code.ids, "<u4")
-    at = np.fromiter((o[0] for o in code.offsets), np.int64, ids.size)
-    border = np.searchsorted(at, starts)
-    for word, part in zip(new, np.split(ids, border[1:])):
-        known[word] = part.tobytes()
+#: Marks that the tokenizer always parts from a letter or digit before them; none of them begins a contraction.
+_TAIL = b".,;:!?"
+#: Begins the tokenizer's special tokens, which are found before letters are lower-cased.
+_SPECIAL = b"<|"
+
+
+def _parts(word: bytes) -> tuple[bytes, bytes]:
+    """A word and the marks at its end, where the tokenizer parts them for certain."""
+    core = word.rstrip(_TAIL)
+    return (core, word[len(core) :]) if core[-1:].isalnum() and _SPECIAL not in word else (word, b"")
+
+
+def _remember(tokenizer, known: dict[bytes, bytes], new: set[bytes]) -> None:
+    """Encode new words as one text and tell their ids apart by where they lie in it.  Words that differ in the marks
+    at their end are encoded once."""
+    parts = {w: _parts(w) for w in new}
+    units = sorted({p for pair in parts.values() for p in pair if p and p not in known})
+    ids_of = {b"": b""}
+    if units:
+        split = [w.decode() for w in units]
+        starts = np.cumsum([0] + [len(w) + 1 for w in split[:-1]])
+        code = tokenizer.encode(" ".join(split), add_special_tokens=False)
+        ids = np.array(code.ids, "<u4")
+        border = np.searchsorted(np.fromiter((o[0] for o in code.offsets), np.int64, ids.size), starts)
+        whole, at = ids.tobytes(), (4 * np.append(border, ids.size)).tolist()
+        ids_of.update((w, whole[x:y]) for w, x, y in zip(units, at, at[1:]))
+    for word, pair in parts.items():
+        core, tail = (known[p] if p in known else ids_of[p] for p in pair)
+        known[word] = core + tail
 
 
 def encode_words(path: str, texts: list[bytes]) -> list[np.ndarray]:
     """Ids of each text, as the tokenizer's own call gives them: special tokens written out in a text are special tokens.
 
     The tokenizer drops white space and never joins across it, and its special tokens hold none, so words are
-    encoded once each.
+    encoded once each.  It lower-cases, so A-Z are lower-cased first, but for texts that may hold a special token.
     """
     tokenizer, known = _encoder(path)
-    split = [text.split() for text in texts]
+    split = [(text if _SPECIAL in text else text.lower()).split() for text in texts]
     words = set().union(*split) if split else set()
     new = words.difference(known)
     if len(known) + len(new) > REMEMBERED:
@@ -72,7 +91,7 @@ def encode_words(path: str, texts: list[bytes]) -> list[np.ndarray]:
         known.clear()
         known.update(kept)
     if new:
-        _remember(tokenizer, known, sorted(new))
+        _remember(tokenizer, known, new)
     return [np.frombuffer(b"".join(map(known.__getitem__, w)), "<u4") for w in split]
 
 
