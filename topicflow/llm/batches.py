@@ -1,23 +1,5 @@
 """Arrow batches of fewer rows while tables of long texts are written."""
 
-from __future__ import annotations
+from topicflow.batches import ROWS, small_batches
 
-from collections.abc import Iterator
-from contextlib import contextmanager
-
-from pyspark.sql import SparkSession
-
-_KEY = "spark.sql.execution.arrow.maxRecordsPerBatch"
-#: A batch of this many texts of 100 KB is 100 MB; the session's own setting holds again afterwards.
-ROWS = 1000
-
-
-@contextmanager
-def small_batches(spark: SparkSession, rows: int = ROWS) -> Iterator[None]:
-    """For jobs that run inside the block; a smaller setting of the session stays."""
-    before = int(spark.conf.get(_KEY))
-    spark.conf.set(_KEY, str(min(rows, before) if before > 0 else rows))
-    try:
-        yield
-    finally:
-        spark.conf.set(_KEY, str(before))
+__all__ = ["ROWS", "small_batches"]
