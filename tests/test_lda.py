@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 from test_metrics import packed_table
 
 from topicflow import Config, report, run
+from topicflow.batches import split_scans
 from topicflow.functions import special as sp
 from topicflow.functions import variational as va
 from topicflow.operators import lda
 from topicflow.operators import vocabulary as vo
+from topicflow.scratch import Scratch
 from topicflow.streaming.scoring import score_documents
 
 K = 3
@@ -27,6 +29,31 @@ def test_special_functions():
     assert sp.digamma(np.array([1.0]))[0] == pytest.approx(-0.5772156649015329, abs=1e-12)
 
 
+def test_exp_digamma_is_the_exponential():
+    x = np.concatenate([[1e-2, 0.1, 1.0], np.geomspace(1e-2, 1e6, 500)])
+    assert sp.exp_digamma(x) == pytest.approx(np.exp(sp.digamma(x)), rel=1e-11)
+
+
+def test_distinct_cells_by_table_and_by_sorting():
+    for cell in (np.array([7, 3, 7, 0, 3]), np.array([900, 3, 900]), np.zeros(0, dtype=np.int64)):
+        cells, at = lda._distinct(cell)
+        assert cells.tolist() == sorted(set(cell.tolist()))
+        assert cells[at].tolist() == cell.tolist()
+
+
+def test_passes_have_a_task_for_every_core(spark, packed, model, tmp_path):
+    # few bytes but much work: neither adaptive partitions nor joined file splits may leave cores idle
+    tasks = lda.TASKS_PER_CORE * spark.sparkContext.defaultParallelism
+    scratch = Scratch(spark, "tasks")
+    lda.fit_lda(packed, model.n_terms, K, max_iter=1, seed=0, scratch=scratch)
+    files = spark.read.parquet(f"{scratch.path}/*-by-slice")
+    assert len(files.inputFiles()) > tasks // 2
+    with split_scans(spark, tasks):
+        assert files.select("terms").rdd.getNumPartitions() > tasks // 2
+    assert spark.conf.get("spark.sql.files.minPartitionNum", None) is None
+    assert lda.infer_topics(packed, model).rdd.getNumPartitions() == tasks
+
+
 def test_gamma_sampler_depends_on_keys_only():
     keys = sp.hash_keys(1, np.arange(4000))
     draws = sp.gamma_sample(keys, 5, 100.0, 0.01)
