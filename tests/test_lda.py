@@ -8,6 +8,7 @@ from conftest import rows
 from pyspark.sql import functions as F
 from test_metrics import packed_table
 
+from checks import queries
 from topicflow import Config, report, run
 from topicflow.batches import split_scans
 from topicflow.functions import special as sp
@@ -285,6 +286,20 @@ def test_library_estimator(spark):
     assert got == [(k, 1.0, 20) for k in range(3)]
 
 
+def test_library_query_runs_the_default_experiment(spark, tmp_path, monkeypatch):
+    # 750 different words: more than a smaller vocabulary would keep
+    data = [(i, " ".join(f"word{25 * i + j}" for j in range(25))) for i in range(30)]
+    spark.createDataFrame(data, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    met = []
+    monkeypatch.setattr(lda, "fit_lda_mllib", lambda *given: met.append(given))
+    queries.lda_fit_ml(spark, str(tmp_path))
+    ((sliced, vocab, *rest),) = met
+    cfg = Config()
+    assert vocab.count() == 750
+    assert sliced.select("slice_id").distinct().count() == cfg.n_slices
+    assert rest == [cfg.n_topics, cfg.max_iter, cfg.random_state] == [10, 50, 0]
+
+
 def test_string_document_ids(spark):
     corpus = word_corpus(spark, 60).withColumn("doc_id", F.concat(F.lit("d"), F.lpad("doc_id", 4, "0")))
     out = run(spark, corpus, Config(2, 2, 50, 2, stop_words=()))
